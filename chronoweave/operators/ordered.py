@@ -122,8 +122,7 @@ def scan(
             across[f"_c_{name}"] = w.aggregate(F.col(total)).over(every)
     names = [f"_k_{k}" for k in keys]
     carried = (
-        hot.groupBy(*keys, PART)
-        .agg(*totals)
+        pin(hot.groupBy(*keys, PART).agg(*totals))
         .withColumns(across)
         .select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(PART).alias("_k_part"), *across)
     )

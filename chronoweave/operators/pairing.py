@@ -21,7 +21,7 @@ _NEIGHBOURS = {"p2": -2, "p1": -1, "n1": 1, "n2": 2}
 
 def timeline_order(df: DataFrame) -> list[str | Column]:
     """Time, then readings before treatments, then the other columns, so that equal times have one order."""
-    last = ["event", "glcsource", "glc", "starttime", "endtime", "input", "input_hrs", "stay_id"]
+    last = ["event", "glcsource", "glc", "starttime", "endtime", "input", "input_hrs", "stay_id", "icu_intime"]
     return ["timer", F.col("event").isNotNull(), *[F.col(c) for c in last if c in df.columns]]
 
 

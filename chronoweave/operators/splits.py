@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.session import rows_per_split
+from chronoweave.session import pin, rows_per_split
 
 PART = "_part"
 HALO = "_halo"
@@ -79,29 +79,15 @@ class Splits:
         tagged = self.tag(df)
         if not self.any:
             return tagged.withColumn(HALO, F.lit(False))
-        backward = [c.desc_nulls_last() for c in order]
         forward = [c.asc_nulls_first() for c in order]
         by_part = Window.partitionBy(*self.keys, PART)
-        hot = self.only_hot(tagged)
-        # the first and last rows of each part; both filters are row limits that Spark applies before the shuffle
-        heads = hot.withColumn("_r", F.row_number().over(by_part.orderBy(*forward))).filter(F.col("_r") <= reach)
-        tails = hot.withColumn("_r", F.row_number().over(by_part.orderBy(*backward))).filter(F.col("_r") <= reach)
-        sizes = hot.groupBy(*self.keys, PART).agg(F.count(F.lit(1)).alias("_size"))
-        # a short part's rows can be among both: keep a tail row only if it is not among the heads as well
-        size_names = [f"_s_{k}" for k in self.keys]
-        sizes = sizes.toDF(*size_names, "_s_part", "_size")
-        tails = (
-            tails.join(
-                F.broadcast(sizes),
-                same_keys([tails[k] for k in self.keys], [F.col(n) for n in size_names])
-                & (tails[PART] == F.col("_s_part")),
-            )
-            .filter(F.col("_size") - F.col("_r") >= reach)
-            .drop(*size_names, "_s_part", "_size")
-        )
-        edges = heads.unionByName(tails).drop("_r")
+        place, size = F.row_number().over(by_part.orderBy(*forward)), F.count(F.lit(1)).over(by_part)
+        marked = self.only_hot(tagged).withColumns({"_place": place, "_size": size})
+        at_edge = (F.col("_place") <= reach) | (F.col("_size") - F.col("_place") < reach)
+        # at most 2 * reach rows per part, stored so that a chain of operators works out its input once per step
+        edges = pin(marked.filter(at_edge).drop("_place", "_size"))
         along = Window.partitionBy(*self.keys).orderBy(*forward)
-        # the edge rows are at most 2 * reach per part, and a hot entity has at most MOST_PARTS parts
+        # a copy goes to every other part that begins or ends within `reach` edge rows
         steps = [F.lead(PART, j).over(along) for j in range(1, reach + 1)]
         steps += [F.lag(PART, j).over(along) for j in range(1, reach + 1)]
         copies = (

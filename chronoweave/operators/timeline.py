@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions import codes
@@ -101,9 +101,10 @@ def to_long(paired: DataFrame, splits: Splits | None = None) -> DataFrame:
     )
 
 
-def wide_order(df: DataFrame) -> list[str | Column]:
-    last = ["starttime", "endtime", "input_hrs", "tpn_rate"]
-    return ["timer", *[F.col(c) for c in last if c in df.columns]]
+def wide_order(df: DataFrame) -> list[str]:
+    """Time, then what tells repeated rows of one time apart."""
+    last = ["starttime", "endtime", "input_hrs", "tpn_rate", "icu_intime"]
+    return ["timer", *[c for c in last if c in df.columns]]
 
 
 def to_wide(long: DataFrame, splits: Splits | None = None) -> DataFrame:

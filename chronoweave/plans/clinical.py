@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from chronoweave.operators.nutrition import enteral_amounts, enteral_rates, parenteral_components, parenteral_rates
 from chronoweave.operators.pairing import flag_repeated, pair_events
 from chronoweave.operators.readings import clean_readings
-from chronoweave.operators.splits import find_splits
+from chronoweave.operators.splits import Splits, find_splits
 from chronoweave.operators.timeline import (
     add_nutrition,
     assign_stays,
@@ -41,8 +41,16 @@ def stay_timeline(raw: RawTables, cap: str = "distinct_count", exact: bool = Fal
     return assign_stays(timeline, stay_attributes(raw.stays, raw.comorbidity, raw.weight))
 
 
-def paired_timeline(timeline: DataFrame, tolerance_min: int = 90, strict_reference: bool = True) -> DataFrame:
-    return flag_repeated(pair_events(timeline, tolerance_min=tolerance_min, strict_reference=strict_reference))
+def paired_timeline(
+    timeline: DataFrame, tolerance_min: int = 90, strict_reference: bool = True
+) -> tuple[DataFrame, Splits]:
+    """The flagged pairing, and the stays' splits for the steps after it."""
+    by_admission = find_splits(timeline, ["hadm_id"], "timer")
+    by_stay = find_splits(timeline, ["stay_id"], "timer")
+    paired = pair_events(
+        timeline, tolerance_min=tolerance_min, strict_reference=strict_reference, splits=by_admission
+    )
+    return flag_repeated(paired, splits=by_stay), by_stay
 
 
 def wide_with_nutrition(wide: DataFrame, orders: DataFrame) -> DataFrame:
@@ -61,9 +69,7 @@ def build_tables(
     """
     root = root or f"{shared_folder(raw.chart.sparkSession)}/graph-{uuid.uuid4().hex}"
     timeline = save_table(stay_timeline(raw, cap, exact), f"{root}/stay_timeline")
-    by_admission = find_splits(timeline, ["hadm_id"], "timer")
-    by_stay = find_splits(timeline, ["stay_id"], "timer")
-    paired = flag_repeated(pair_events(timeline, splits=by_admission), splits=by_stay)
+    paired, by_stay = paired_timeline(timeline)
     as_view(paired, "paired_timeline")
     long = save_table(to_long(paired, by_stay), f"{root}/long")
     wide = save_table(to_wide(long, by_stay), f"{root}/wide")

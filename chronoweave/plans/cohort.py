@@ -24,8 +24,7 @@ def trimmed(wide: DataFrame, splits: Splits | None = None) -> DataFrame:
     df = c.add_gap(df)
     df = c.keep_min_readings(df, order=order, splits=splits)
     df = c.trim_trailing(df, order=order, splits=splits)
-    by = ["stay_id", "timer", *[o for o in ("starttime", "endtime", "input_hrs", "tpn_rate") if o in df.columns]]
-    df = add_row_id(df, by)
+    df = add_row_id(df, ["stay_id", *order])
     return c.trim_leading(df, order=order, splits=splits)
 
 

@@ -36,6 +36,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts as timer",
         f"case when {reading} then ts end as glctimer",
         f"case when {reading} then 60 + 2 * value end as glc",
+        "case when event_type = 'click' then 60 + 2 * value end as glc_lab",
         "case event_type when 'view' then 'fingerstick' when 'click' then 'blood' end as glcsource",
         f"case when not {reading} then ts end as starttime",
         f"case when event_type = 'signup' then ts + make_dt_interval(0, 0, 3 * {K}, 0) end as endtime",
@@ -44,6 +45,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"case when not {reading} then 'Short' end as insulintype",
         "case event_type when 'purchase' then 'BOLUS_PUSH' when 'error' then 'BOLUS_INJECTION' "
         "when 'signup' then 'INFUSION' end as event",
+        f"case when not {reading} then cast(event_id % 2 as int) end as infxstop",
     )
 
 

@@ -14,7 +14,7 @@ from chronoweave.operators import cohort, entities, features, nutrition, quality
 from chronoweave.operators import sequences, timeline, trajectories, treatments
 from chronoweave.operators.models import fit_linear
 from chronoweave.operators.ordered import add_row_id
-from chronoweave.operators.pairing import flag_repeated, pair_events
+from chronoweave.operators.pairing import pair_events
 from chronoweave.operators.ranges import stab_intervals, sum_points_between
 from chronoweave.operators.splits import find_splits
 from chronoweave.plans import clinical
@@ -124,8 +124,7 @@ def stay_timeline(spark, d):
 @query()
 def stay_timeline_long(spark, d):
     stays = pin(clinical.stay_timeline(m.clinical_tables(spark, d), exact=True))
-    paired = clinical.paired_timeline(stays)
-    return timeline.to_long(paired)
+    return timeline.to_long(*clinical.paired_timeline(stays))
 
 
 @query()
@@ -167,21 +166,18 @@ def paired_one_reading_per_rule(spark, d):
 
 @query()
 def repeated_readings(spark, d):
-    paired = pair_events(m.timeline(spark, d), tolerance_min=720)
-    return flag_repeated(paired).select("stay_id", "timer", "glctimer_al", "repeated")
-
-
-def _long(spark, d) -> DataFrame:
-    return timeline.to_long(flag_repeated(pair_events(m.timeline(spark, d), tolerance_min=720)))
+    paired, _ = clinical.paired_timeline(m.timeline(spark, d), tolerance_min=720)
+    return paired.select("stay_id", "timer", "glctimer_al", "repeated")
 
 
 @query()
 def long_timeline(spark, d):
-    return _long(spark, d)
+    return timeline.to_long(*clinical.paired_timeline(m.timeline(spark, d), tolerance_min=720))
 
 
 def _wide(spark, d) -> DataFrame:
-    return timeline.to_wide(pin(_long(spark, d)))
+    paired, by_stay = clinical.paired_timeline(m.timeline(spark, d), tolerance_min=720)
+    return timeline.to_wide(pin(timeline.to_long(paired, by_stay)), by_stay)
 
 
 @query()
@@ -384,7 +380,7 @@ def only_observed_rows(spark, d):
 # ------------------------------------------------------------------ entities, features, sequences
 
 
-@query()
+@query(2)
 def customer_folds(spark, d):
     """Three folds over the customers that have orders; every order follows its customer."""
     folded = entities.fold_by_entity(m.load(spark, d, "orders"), 3, "o_custkey")
@@ -607,7 +603,7 @@ def saved_predictions(spark, d):
 # ------------------------------------------------------------------ models
 
 
-@query(5)
+@query()
 def linear_price_model(spark, d):
     """Mean and deviation of the price given the quantity, fitted on even and predicted on odd orders."""
     items = m.load(spark, d, "lineitem").select(
