@@ -35,11 +35,23 @@ def with_neighbours(
     return splits.widen(df, order, reach).withColumns(build(window)).filter(~F.col(HALO)).drop(HALO, PART)
 
 
+_AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
 @dataclass(frozen=True)
 class Running:
-    """Sum of `expr` from the first row to this one; `expr` must not be NULL."""
+    """`how` ('sum', 'max', 'min') of the non-NULL `expr` from the first row to this one."""
+
+    expr: Column
+    how: str = "sum"
+
+
+@dataclass(frozen=True)
+class Remaining:
+    """`how` of the non-NULL `expr` from this row to the last one."""
 
     expr: Column
+    how: str = "sum"
 
 
 @dataclass(frozen=True)
@@ -58,20 +70,27 @@ class NextSeen:
 
 @dataclass(frozen=True)
 class Whole:
-    """`how` ('sum', 'max', 'min') of `expr` over all rows of the entity."""
+    """`how` of the non-NULL `expr` over all rows of the entity."""
 
     how: str
     expr: Column
 
-    def aggregate(self, expr: Column) -> Column:
-        return {"sum": F.sum, "max": F.max, "min": F.min}[self.how](expr)
+
+Scan = Running | Remaining | LastSeen | NextSeen | Whole
+
+
+def _merge(how: str, here: Column, carry: Column) -> Column:
+    """The aggregate over this part and the parts it continues; either may be NULL."""
+    if how == "sum":
+        return F.coalesce(here + carry, here, carry)
+    return F.greatest(here, carry) if how == "max" else F.least(here, carry)
 
 
 def scan(
     df: DataFrame,
     keys: list[str],
     order: list[str | Column],
-    wanted: dict[str, Running | LastSeen | NextSeen | Whole],
+    wanted: dict[str, Scan],
     splits: Splits | None = None,
 ) -> DataFrame:
     """Add running and whole-timeline columns.
@@ -81,48 +100,45 @@ def scan(
     """
     splits = splits_for(df, keys, order[0], splits)
     order = as_columns(order)
-    base = splits.tag(df) if splits.any else df
-    by = [*keys, PART] if splits.any else list(keys)
-    whole = Window.partitionBy(*by)
-    # "from here to the end" is written as "from the end to here": Spark's forward-growing frame is quadratic
+    base = splits.spread(splits.tag(df)) if splits.any else df
+    whole = Window.partitionBy(*keys, *([PART] if splits.any else []))
+    # "from here to the end" is written as "from the end to here": Spark's frame that starts at the current
+    # row works through the rest of the partition again for every row
     up = whole.orderBy(*[c.asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     down = whole.orderBy(*[c.desc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     local: dict[str, Column] = {}
     for name, w in wanted.items():
-        if isinstance(w, Running):
-            local[name] = F.sum(w.expr).over(up)
-        elif isinstance(w, LastSeen):
+        if isinstance(w, LastSeen):
             local[name] = F.last(w.expr, ignorenulls=True).over(up)
         elif isinstance(w, NextSeen):
             local[name] = F.last(w.expr, ignorenulls=True).over(down)
         else:
-            local[name] = w.aggregate(w.expr).over(whole)
+            frame = {Running: up, Remaining: down, Whole: whole}[type(w)]
+            local[name] = _AGGREGATES[w.how](w.expr).over(frame)
     if not splits.any:
         return df.withColumns(local)
 
-    hot = splits.only_hot(base)
     rank = F.struct(*[F.struct(c.isNotNull(), c) for c in order])
     totals, across = [], {}
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(F.desc(PART)).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
     for name, w in wanted.items():
-        total = f"_t_{name}"
-        if isinstance(w, Running):
-            totals.append(F.sum(w.expr).alias(total))
-            across[f"_c_{name}"] = F.sum(total).over(before)
-        elif isinstance(w, LastSeen):
+        total, carry = f"_t_{name}", f"_c_{name}"
+        if isinstance(w, LastSeen):
             totals.append(F.max_by(w.expr, F.when(w.expr.isNotNull(), rank)).alias(total))
-            across[f"_c_{name}"] = F.last(total, ignorenulls=True).over(before)
+            across[carry] = F.last(total, ignorenulls=True).over(before)
         elif isinstance(w, NextSeen):
             totals.append(F.min_by(w.expr, F.when(w.expr.isNotNull(), rank)).alias(total))
-            across[f"_c_{name}"] = F.last(total, ignorenulls=True).over(after)
+            across[carry] = F.last(total, ignorenulls=True).over(after)
         else:
-            totals.append(w.aggregate(w.expr).alias(total))
-            across[f"_c_{name}"] = w.aggregate(F.col(total)).over(every)
+            frame = {Running: before, Remaining: after, Whole: every}[type(w)]
+            totals.append(_AGGREGATES[w.how](w.expr).alias(total))
+            across[carry] = _AGGREGATES[w.how](total).over(frame)
     names = [f"_k_{k}" for k in keys]
+    # stored: the totals are a pass over the input, which the rows below are another pass over
     carried = (
-        pin(hot.groupBy(*keys, PART).agg(*totals))
+        pin(splits.only_hot(splits.tag(df)).groupBy(*keys, PART).agg(*totals))
         .withColumns(across)
         .select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(PART).alias("_k_part"), *across)
     )
@@ -135,8 +151,8 @@ def scan(
     merged = {}
     for name, w in wanted.items():
         carry = F.col(f"_c_{name}")
-        if isinstance(w, Running):
-            merged[name] = F.col(name) + F.coalesce(carry, F.lit(0))
+        if isinstance(w, (Running, Remaining)):
+            merged[name] = _merge(w.how, F.col(name), carry)
         elif isinstance(w, Whole):
             merged[name] = F.when(F.col("_k_part").isNull(), F.col(name)).otherwise(carry)
         else:

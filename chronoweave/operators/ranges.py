@@ -1,20 +1,30 @@
-"""Joins of time points with time intervals of the same entity.
+"""Time points against time intervals of the same entity.
 
-A plain equi join on the entity with the time test as residual compares every point with every interval
-of that entity. Here intervals get a size class and points meet only intervals of the same stretch of
-time: class c holds intervals shorter than 16^(c+1) minutes and cuts time into stretches of that length,
-so an interval touches at most two stretches and the compared pairs stay within a constant factor of the
-pairs that match (for evenly spread points).
+A plain equi join on the entity with the time test as residual compares every point with every interval of
+that entity. Two ways around it:
+
+* `in_force` for counts, averages, earliest start and latest end of the intervals around a point: starts,
+  ends and points form one timeline and running aggregates give the answer, so no pair is ever built.
+* `stab_pairs` where the pairs themselves are wanted. Intervals get a size class and points meet only
+  intervals of the same stretch of time: class c cuts time into stretches of 16^(c+1) milliseconds and holds
+  the intervals that fit into one, so an interval touches at most two stretches, and the pairs compared stay
+  within a constant factor of those that match (for evenly spread points).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.operators.ordered import Remaining, Running, scan
+from chronoweave.operators.splits import PART, Splits, splits_for
+
 BASE = 16
-MINUTE = 60_000_000
-CLASSES = 8
+MILLISECOND = 1_000
+CLASSES = 12
+EXACT = "decimal(38,18)"  # sums of additions and removals must cancel to the last digit
 
 
 def _micros(c: Column) -> Column:
@@ -29,40 +39,41 @@ def stab_pairs(
     start: str = "starttime",
     end: str = "endtime",
     closed: str = "left",
+    splits: Splits | None = None,
 ) -> DataFrame:
     """All (point, interval) pairs of one entity with the point inside the interval.
 
     `closed`: 'left' is start <= t < end, 'neither' is start < t < end. Columns of `points` come first, then
-    the interval's own columns (its keys are dropped, its names must not clash).
+    the interval's own columns (its keys are dropped, its names must not clash). Points of an over-full entity
+    are spread over its parts, and an interval goes to every part it reaches into.
     """
+    splits = splits_for(points, keys, point, splits)
     length = _micros(F.col(end)) - _micros(F.col(start))
     level = F
     for n in range(CLASSES):
-        level = level.when(length <= MINUTE * BASE ** (n + 1), n)
+        level = level.when(length <= MILLISECOND * BASE ** (n + 1), n)
     level = level.otherwise(CLASSES)
     sized = intervals.filter(length > 0).withColumn("_level", level)
-    levels = [r[0] for r in sized.select("_level").distinct().collect()]  # at most a dozen size classes
-    names = [f"_i_{k}" for k in keys]
+    levels = [r[0] for r in sized.select("_level").distinct().collect()]  # at most 13 size classes
     stretch = F
     for n in range(CLASSES + 1):
-        stretch = stretch.when(F.col("_level") == n, F.lit(MINUTE * BASE ** (n + 1)))
-    first = F.floor(_micros(F.col(start)) / stretch)
-    last = F.floor(_micros(F.col(end)) / stretch)
-    spread = (
-        sized.withColumn("_slot", F.explode(F.sequence(first, last)))
-        .withColumnsRenamed(dict(zip(keys, names)))
-        .withColumnRenamed("_level", "_i_level")
-        .withColumnRenamed("_slot", "_i_slot")
-    )
+        stretch = stretch.when(F.col("_level") == n, F.lit(MILLISECOND * BASE ** (n + 1)))
+    slots = F.sequence(F.floor(_micros(F.col(start)) / stretch), F.floor(_micros(F.col(end)) / stretch))
+    own = {k: f"_i_{k}" for k in keys} | {"_level": "_i_level", "_slot": "_i_slot"}
+    spread = sized.withColumn("_slot", F.explode(slots))
     placed = points.withColumn("_level", F.explode(F.array(*[F.lit(int(x)) for x in levels] or [F.lit(-1)])))
     placed = placed.withColumn("_slot", F.floor(_micros(F.col(point)) / stretch))
-    test = (F.col(point) >= F.col(start)) if closed == "left" else (F.col(point) > F.col(start))
-    condition = (F.col("_level") == F.col("_i_level")) & (F.col("_slot") == F.col("_i_slot"))
-    for k, n in zip(keys, names):
-        condition &= F.col(k) == F.col(n)
-    return placed.join(spread, condition & test & (F.col(point) < F.col(end))).drop(
-        "_level", "_slot", "_i_level", "_i_slot", *names
-    )
+    if splits.any:
+        placed = splits.tag(placed, point)
+        spread = splits.tag(splits.tag(spread, start, "_from"), end, "_to")
+        spread = spread.withColumn(PART, F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
+        own[PART] = "_i_part"
+    spread = spread.withColumnsRenamed(own)
+    inside = (F.col(point) >= F.col(start)) if closed == "left" else (F.col(point) > F.col(start))
+    condition = inside & (F.col(point) < F.col(end))
+    for here, there in own.items():
+        condition &= F.col(here) == F.col(there)
+    return placed.join(spread, condition).drop("_level", "_slot", PART, *own.values())
 
 
 def stab_intervals(
@@ -73,6 +84,7 @@ def stab_intervals(
     start: str = "starttime",
     end: str = "endtime",
     aggs: dict[str, Column] | None = None,
+    splits: Splits | None = None,
 ) -> DataFrame:
     """Left join each row with the intervals that hold its time (start <= t < end).
 
@@ -80,12 +92,76 @@ def stab_intervals(
     a row is repeated once per interval. Interval columns must not share a name with `df`, keys aside.
     """
     probes = df.select(*keys, point).distinct()
-    pairs = stab_pairs(probes, intervals, keys, point, start, end)
+    pairs = stab_pairs(probes, intervals, keys, point, start, end, splits=splits)
     if aggs is not None:
         pairs = pairs.groupBy(*keys, point).agg(*[c.alias(n) for n, c in aggs.items()])
     return df.join(pairs, [*keys, point], "left")
 
 
+@dataclass(frozen=True)
+class Layer:
+    """One table of intervals for `in_force`, and the names of the outputs wanted from it."""
+
+    rows: DataFrame
+    start: str = "starttime"
+    end: str = "endtime"
+    averages: dict[str, str] = field(default_factory=dict)  # output name -> column
+    count: str | None = None
+    first_start: str | None = None
+    last_end: str | None = None
+
+
+def in_force(
+    df: DataFrame, keys: list[str], point: str, layers: list[Layer], splits: Splits | None = None
+) -> DataFrame:
+    """Add, per row, aggregates of the intervals that hold its time (start <= t < end); NULL where there is none.
+
+    Rows, interval starts and interval ends are sorted into one timeline. What started less what ended gives
+    counts and sums. The latest end of all that started is the latest end in force whenever any is, and the
+    earliest start of all that has yet to end likewise.
+    """
+    moves = []
+    for n, layer in enumerate(layers):
+        alive = layer.rows.filter(F.col(layer.end) > F.col(layer.start))
+        for time, sign in ((layer.start, 1), (layer.end, -1)):
+            columns = [F.lit(sign).alias(f"_n{n}")]
+            for out, c in layer.averages.items():
+                value = F.col(c).cast(EXACT)
+                columns.append((value * F.lit(sign)).cast(EXACT).alias(f"_s{n}_{out}"))
+                columns.append(F.when(value.isNotNull(), F.lit(sign)).alias(f"_k{n}_{out}"))
+            columns.append((F.col(layer.end) if sign == 1 else F.lit(None)).cast(df.schema[point].dataType).alias(f"_e{n}"))
+            columns.append((F.col(layer.start) if sign == -1 else F.lit(None)).cast(df.schema[point].dataType).alias(f"_b{n}"))
+            moves.append(alive.select(*keys, F.col(time).alias(point), *columns, F.lit(0).alias("_kind")))
+    timeline = df.withColumn("_kind", F.lit(1))
+    for move in moves:
+        timeline = timeline.unionByName(move, allowMissingColumns=True)
+    wanted: dict = {}
+    for n, layer in enumerate(layers):
+        wanted[f"_n{n}"] = Running(F.col(f"_n{n}"))
+        for out in layer.averages:
+            wanted[f"_s{n}_{out}"] = Running(F.col(f"_s{n}_{out}"))
+            wanted[f"_k{n}_{out}"] = Running(F.col(f"_k{n}_{out}"))
+        if layer.last_end:
+            wanted[f"_e{n}"] = Running(F.col(f"_e{n}"), "max")
+        if layer.first_start:
+            wanted[f"_b{n}"] = Remaining(F.col(f"_b{n}"), "min")
+    # at one time, starts and ends come before rows: a start at t counts at t, an end at t no longer does
+    seen = scan(timeline, keys, [point, "_kind"], wanted, splits).filter(F.col("_kind") == 1)
+    outputs: list[Column] = []
+    for n, layer in enumerate(layers):
+        active = F.col(f"_n{n}") > 0
+        for out in layer.averages:
+            share = F.col(f"_s{n}_{out}").cast("double") / F.col(f"_k{n}_{out}")
+            outputs.append(F.when(F.col(f"_k{n}_{out}") > 0, share).alias(out))
+        if layer.count:
+            outputs.append(F.when(active, F.col(f"_n{n}")).alias(layer.count))
+        if layer.first_start:
+            outputs.append(F.when(active, F.col(f"_b{n}")).alias(layer.first_start))
+        if layer.last_end:
+            outputs.append(F.when(active, F.col(f"_e{n}")).alias(layer.last_end))
+    return seen.select(*df.columns, *outputs)
+
+
 def sum_points_between(
     df: DataFrame,
     points: DataFrame,
@@ -95,12 +171,13 @@ def sum_points_between(
     previous: str = "timer_prev",
     current: str = "timer",
     name: str | None = None,
+    splits: Splits | None = None,
 ) -> DataFrame:
     """Per (keys, current): sum of `value` over points with previous <= at < current; NULL if there is none."""
     name = name or value
     windows = df.select(*keys, previous, current)
     wanted = points.select(*keys, F.col(at).alias("_at"), F.col(value).alias("_value"))
-    pairs = stab_pairs(wanted, windows, keys, "_at", previous, current)
+    pairs = stab_pairs(wanted, windows, keys, "_at", previous, current, splits=splits)
     sums = pairs.groupBy(*keys, current).agg(F.sum("_value").alias(name))
     return windows.select(*keys, current).distinct().join(sums, [*keys, current], "left")
 
@@ -112,6 +189,7 @@ def assign_to_interval(
     point: str,
     start: str,
     end: str,
+    splits: Splits | None = None,
 ) -> DataFrame:
     """Inner join of each event with the intervals of its entity that strictly hold its time."""
-    return stab_pairs(events, intervals, keys, point, start, end, closed="neither")
+    return stab_pairs(events, intervals, keys, point, start, end, "neither", splits)

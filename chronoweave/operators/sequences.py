@@ -29,7 +29,7 @@ def to_sequences(
     `max_len` keeps the first steps only (training). An entity of more than `segment` steps becomes several
     rows, numbered by `seg`, that follow each other: no step is lost and no row grows without bound.
     """
-    order = order or [roles.time_vars[0]]
+    order = order or [roles.time_vars[0], roles.key]
     steps = scan(df, [roles.id], order, {"_i": Running(F.lit(1))}, splits)
     if max_len is not None:
         steps = steps.filter(F.col("_i") <= max_len)

@@ -47,11 +47,11 @@ class Splits:
     def any(self) -> bool:
         return self.hot is not None
 
-    def tag(self, df: DataFrame) -> DataFrame:
-        """Add the part number; 0 for ordinary entities."""
+    def tag(self, df: DataFrame, clock: str | None = None, name: str = PART) -> DataFrame:
+        """Add the number of the part that the row's time falls into; 0 for ordinary entities."""
         if not self.any:
-            return df.withColumn(PART, F.lit(0))
-        x = position(df, self.clock)
+            return df.withColumn(name, F.lit(0))
+        x = position(df, clock or self.clock)
         names = [f"_hot_{k}" for k in self.keys]
         hot = F.broadcast(self.hot.toDF(*names, "_lo", "_width", "_base", "_cuts"))
         cell = F.least(F.floor((x - F.col("_lo")) / F.col("_width")), F.size("_base") - 1).cast("int")
@@ -60,7 +60,7 @@ class Splits:
         part = F.when(F.col("_lo").isNotNull() & x.isNotNull(), F.get(F.col("_base"), cell) + inside)
         return (
             df.join(hot, same_keys([df[k] for k in self.keys], [F.col(n) for n in names]), "left")
-            .withColumn(PART, F.coalesce(part, F.lit(0)).cast("int"))
+            .withColumn(name, F.coalesce(part, F.lit(0)).cast("int"))
             .drop(*names, "_lo", "_width", "_base", "_cuts")
         )
 
@@ -97,7 +97,15 @@ class Splits:
             .withColumn(PART, F.col("_to"))
             .drop("_to")
         )
-        return tagged.withColumn(HALO, F.lit(False)).unionByName(copies.withColumn(HALO, F.lit(True)))
+        wide = tagged.withColumn(HALO, F.lit(False)).unionByName(copies.withColumn(HALO, F.lit(True)))
+        return self.spread(wide)
+
+    def spread(self, tagged: DataFrame) -> DataFrame:
+        """Shuffle by entity and part, so that an over-full entity's parts land in different tasks.
+
+        Said outright because rows already shuffled by entity alone would count as well placed.
+        """
+        return tagged.repartition(*self.keys, PART)
 
 
 def find_splits(df: DataFrame, keys: list[str], clock: str, rows: int | None = None) -> Splits:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions import codes
 from chronoweave.operators.ordered import with_neighbours
 from chronoweave.operators.pairing import timeline_order
-from chronoweave.operators.ranges import assign_to_interval, stab_intervals, stab_pairs, sum_points_between
+from chronoweave.operators.ranges import (
+    Layer,
+    assign_to_interval,
+    in_force,
+    stab_intervals,
+    stab_pairs,
+    sum_points_between,
+)
 from chronoweave.operators.splits import Splits
 from chronoweave.schemas import STAY_COLUMNS
 
@@ -132,7 +139,7 @@ def to_wide(long: DataFrame, splits: Splits | None = None) -> DataFrame:
         "stay_id", F.col("timer").alias("_own"), "starttime", "endtime", "input_hrs"
     )
     probes = base.select("stay_id", "timer").distinct()
-    during = stab_pairs(probes, infusions, ["stay_id"]).filter(F.col("timer") != F.col("_own")).drop("_own")
+    during = stab_pairs(probes, infusions, ["stay_id"], splits=splits).filter(F.col("timer") != F.col("_own")).drop("_own")
     at_start = infusions.withColumnRenamed("_own", "timer")
     in_force = during.unionByName(at_start)
     joined = base.join(in_force, ["stay_id", "timer"], "left").join(boluses, ["stay_id", "timer"], "left")
@@ -166,37 +173,53 @@ def to_wide(long: DataFrame, splits: Splits | None = None) -> DataFrame:
     )
 
 
-def add_nutrition(wide: DataFrame, parenteral: DataFrame, enteral: DataFrame) -> DataFrame:
-    """Attach nutrition in force at each time; TPN orders that overlap repeat the row."""
+def add_nutrition(
+    wide: DataFrame,
+    parenteral: DataFrame,
+    enteral: DataFrame,
+    repeat_rows: bool = True,
+    splits: Splits | None = None,
+) -> DataFrame:
+    """Attach nutrition in force at each time: mean enteral rates, TPN rate, dextrose given since the last row.
+
+    TPN orders that overlap repeat the row. With `repeat_rows=False` they do not: `tpn_rate` is then the mean
+    over the orders in force and `n_tpn` their number, for callers that drop such stays anyway.
+    """
     tpn = parenteral.filter(F.col("tpn_rate").isNotNull()).select(
         "stay_id", F.col("starttime").alias("_tpn_start"), F.col("endtime").alias("_tpn_end"), "tpn_rate"
     )
+    rates = ["enteral_rate", *[f"{n}_enteral" for n in codes.NUTRIENTS]]
+    layers = [
+        Layer(enteral, averages={c: c for c in rates}, first_start="ent_starttime", last_end="ent_endtime"),
+    ]
+    if not repeat_rows:
+        layers.append(Layer(tpn, "_tpn_start", "_tpn_end", averages={"tpn_rate": "tpn_rate"}, count="n_tpn"))
+    out = in_force(wide, ["stay_id"], "timer", layers, splits)
+    if repeat_rows:
+        out = stab_intervals(out, tpn, ["stay_id"], "timer", "_tpn_start", "_tpn_end", splits=splits)
+        out = out.drop("_tpn_start", "_tpn_end")
     fluid = parenteral.filter(F.col("dextrose_fluid").isNotNull()).select("stay_id", "starttime", "dextrose_fluid")
     given = sum_points_between(wide, fluid, ["stay_id"], "dextrose_fluid")
-    fed = enteral.select(
-        "stay_id",
-        F.col("starttime").alias("_ent_start"),
-        F.col("endtime").alias("_ent_end"),
-        "enteral_rate",
-        *[f"{n}_enteral" for n in codes.NUTRIENTS],
-    )
-    averages = {c: F.avg(c) for c in ("enteral_rate", *[f"{n}_enteral" for n in codes.NUTRIENTS])}
-    averages["ent_starttime"] = F.min("_ent_start")
-    averages["ent_endtime"] = F.max("_ent_end")
-    out = stab_intervals(wide, fed, ["stay_id"], "timer", "_ent_start", "_ent_end", averages)
-    out = stab_intervals(out, tpn, ["stay_id"], "timer", "_tpn_start", "_tpn_end").drop("_tpn_start", "_tpn_end")
     return out.join(given, ["stay_id", "timer"], "left")
 
 
-def drop_fanned_out_entities(df: DataFrame, key: str = "stay_id", at: str = "timer") -> DataFrame:
+def drop_fanned_out_entities(
+    df: DataFrame, key: str = "stay_id", at: str = "timer", also: Column | None = None
+) -> DataFrame:
     """Drop every entity that has two rows at one time, with the NULL rules of NOT IN.
 
-    If any entity is dropped, rows with a NULL key go too; a dropped NULL key empties the result.
+    `also` marks further rows whose entity goes. If any entity is dropped, rows with a NULL key go too; a
+    dropped NULL key empties the result.
     """
-    removals = df.groupBy(key, at).count().filter(F.col("count") > 1).select(F.col(key).alias("_gone")).distinct()
-    gone = removals.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_gone").isNull()).alias("n_null")
+    marked = F.max(F.coalesce(also, F.lit(False))) if also is not None else F.lit(False)
+    removals = (
+        df.groupBy(key, at)
+        .agg(F.count(F.lit(1)).alias("_n"), marked.alias("_marked"))
+        .filter((F.col("_n") > 1) | F.col("_marked"))
+        .select(F.col(key).alias("_gone"))
+        .distinct()
     )
+    gone = removals.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_gone").isNull()).alias("n_null"))
     kept = df.join(removals, df[key] == F.col("_gone"), "left_anti")
     return kept.filter(gone.select("n_null").scalar() == 0).filter(
         F.col(key).isNotNull() | (gone.select("n").scalar() == 0)

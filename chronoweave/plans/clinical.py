@@ -6,6 +6,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chronoweave.operators.nutrition import enteral_amounts, enteral_rates, parenteral_components, parenteral_rates
 from chronoweave.operators.pairing import flag_repeated, pair_events
@@ -21,7 +22,7 @@ from chronoweave.operators.timeline import (
     to_wide,
 )
 from chronoweave.operators.treatments import clean_treatments
-from chronoweave.session import shared_folder
+from chronoweave.session import pin, shared_folder
 from chronoweave.sources.tables import as_view, save_table
 
 
@@ -53,10 +54,15 @@ def paired_timeline(
     return flag_repeated(paired, splits=by_stay), by_stay
 
 
-def wide_with_nutrition(wide: DataFrame, orders: DataFrame) -> DataFrame:
+def wide_with_nutrition(wide: DataFrame, orders: DataFrame, splits: Splits | None = None) -> DataFrame:
+    """The wide table with nutrition, without the stays that have treatments of one kind at the same time.
+
+    Such stays go, so overlapping TPN orders are counted rather than written out as repeated rows.
+    """
     parenteral = parenteral_rates(parenteral_components(orders))
     enteral = enteral_rates(enteral_amounts(orders))
-    return drop_fanned_out_entities(add_nutrition(wide, parenteral, enteral))
+    fed = pin(add_nutrition(wide, parenteral, enteral, repeat_rows=False, splits=splits))
+    return drop_fanned_out_entities(fed, also=F.col("n_tpn") > 1).drop("n_tpn")
 
 
 def build_tables(
@@ -73,5 +79,5 @@ def build_tables(
     as_view(paired, "paired_timeline")
     long = save_table(to_long(paired, by_stay), f"{root}/long")
     wide = save_table(to_wide(long, by_stay), f"{root}/wide")
-    fed = save_table(wide_with_nutrition(wide, raw.orders), f"{root}/wide_nutrition")
+    fed = save_table(wide_with_nutrition(wide, raw.orders, by_stay), f"{root}/wide_nutrition")
     return {"stay_timeline": timeline, "long": long, "wide": wide, "wide_nutrition": fed}

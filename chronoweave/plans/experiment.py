@@ -55,7 +55,9 @@ def run_folds(
     """
     data = df
     if model != "LinearModel":
-        data = lag_features(data, roles.timevarying, roles.id, roles.time_vars)
+        data = lag_features(
+            data, roles.timevarying, roles.id, roles.time_vars, order=[roles.time_vars[0], roles.key]
+        )
     data = data.filter(F.col(roles.target_mask) == 0).withColumn("target", log_link(F.col(roles.target)))
     data = pin(with_folds(data, roles, k, seed))  # every fold's fit and prediction reads the same rows
     parts = []

@@ -749,6 +749,27 @@ FROM {IN_FORCE} GROUP BY p.stay_id, p.timer, p.timer_prev, p.glc""",
     "probes",
     "intervals",
 )
+ORACLES["sweep_in_force"] = ORACLES["averages_in_force"]
+oracle(
+    "nutrition_with_repeated_rows",
+    f"""
+SELECT p.stay_id, {t('p.timer', 'timer')}, {t('p.timer_prev', 'timer_prev')}, {r('p.glc', 'glc')},
+       {", ".join(r('e.' + c, c) for c in ENTERAL)}, {t('e.ent_starttime', 'ent_starttime')},
+       {t('e.ent_endtime', 'ent_endtime')}, {r('q.tpn_rate', 'tpn_rate')}, {r('d.given', 'dextrose_fluid')}
+FROM probes p
+LEFT JOIN (SELECT p.stay_id, p.timer, {", ".join(f"avg({c}) AS {c}" for c in ENTERAL)},
+                  min(x.starttime) AS ent_starttime, max(x.endtime) AS ent_endtime
+           FROM probes p JOIN enteral_rates x ON x.stay_id = p.stay_id AND p.timer >= x.starttime AND p.timer < x.endtime
+           GROUP BY p.stay_id, p.timer) e ON e.stay_id = p.stay_id AND e.timer = p.timer
+LEFT JOIN parenteral_rates q ON q.tpn_rate IS NOT NULL AND q.stay_id = p.stay_id
+    AND p.timer >= q.starttime AND p.timer < q.endtime
+LEFT JOIN (SELECT p.stay_id, p.timer, sum(x.dextrose_fluid) AS given
+           FROM probes p JOIN parenteral_rates x ON x.stay_id = p.stay_id AND x.starttime >= p.timer_prev
+                AND x.starttime < p.timer GROUP BY p.stay_id, p.timer) d ON d.stay_id = p.stay_id AND d.timer = p.timer""",
+    "probes",
+    "enteral_rates",
+    "parenteral_rates",
+)
 oracle(
     "rows_in_force",
     f"""

@@ -15,7 +15,7 @@ from chronoweave.operators import sequences, timeline, trajectories, treatments
 from chronoweave.operators.models import fit_linear
 from chronoweave.operators.ordered import add_row_id
 from chronoweave.operators.pairing import pair_events
-from chronoweave.operators.ranges import stab_intervals, sum_points_between
+from chronoweave.operators.ranges import Layer, in_force, stab_intervals, sum_points_between
 from chronoweave.operators.splits import find_splits
 from chronoweave.plans import clinical
 from chronoweave.plans import cohort as cohort_plan
@@ -214,6 +214,23 @@ def points_between_rows(spark, d):
     return sum_points_between(_probes(spark, d), points, ["stay_id"], "input", name="dose")
 
 
+@query()
+def sweep_in_force(spark, d):
+    """The same averages from one sorted timeline, without building pairs."""
+    layer = Layer(
+        _infusions(spark, d), "from_time", "to_time", {"rate": "input_hrs"}, "n_in_force", "first_start", "last_end"
+    )
+    return in_force(_probes(spark, d), ["stay_id"], "timer", [layer])
+
+
+@query()
+def nutrition_with_repeated_rows(spark, d):
+    raw = m.clinical_tables(spark, d)
+    parenteral = nutrition.parenteral_rates(nutrition.parenteral_components(raw.orders))
+    enteral = nutrition.enteral_rates(nutrition.enteral_amounts(raw.orders))
+    return timeline.add_nutrition(_probes(spark, d), parenteral, enteral)
+
+
 @query()
 def averages_in_force(spark, d):
     aggs = {
