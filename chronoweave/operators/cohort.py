@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from chronoweave.functions import codes
 from chronoweave.functions.clock import hours_between
 from chronoweave.operators.ordered import LastSeen, NextSeen, Running, Whole, scan, with_neighbours
-from chronoweave.operators.quantiles import exact_median
-from chronoweave.operators.splits import Splits
+from chronoweave.operators.quantiles import column_medians, exact_median
+from chronoweave.operators.splits import Splits, splits_for
 
 TIME_ORDER = ("timer",)
 
@@ -55,14 +55,12 @@ def trim_trailing(
     return scan(df, [id], order, {"_known": known}, splits).filter(F.col("_known").isNotNull()).drop("_known")
 
 
-def trim_leading(
+def mark_leading(
     df: DataFrame, id: str = "stay_id", order=TIME_ORDER, value: str = "glc", splits: Splits | None = None
 ) -> DataFrame:
-    """Drop each entity's rows before its first known value.
-
-    Adds `msk0` (value missing, 1.0/0.0), `sum_msk0` (missing so far, counted before the trim) and `n` (1-based
-    position after the trim).
-    """
+    """Add `msk0` (value missing, 1.0/0.0), `sum_msk0` (missing so far), `n` (1-based position) and `lead`
+    (rows before the entity's first known value)."""
+    splits = splits_for(df, [id], order[0], splits)
     missing = _flag(F.col(value).isNull())
     seen = scan(
         df.drop("n", "msk0", "sum_msk0"),
@@ -71,10 +69,30 @@ def trim_leading(
         {"n": Running(F.lit(1)), "sum_msk0": Running(missing)},
         splits,
     )
-    kept = seen.filter(F.col("sum_msk0") != F.col("n")).withColumns(
-        {"msk0": missing.cast("double"), "sum_msk0": F.col("sum_msk0").cast("double")}
+    before_first = F.when(F.col("sum_msk0") == F.col("n"), F.col("n"))
+    seen = scan(seen, [id], order, {"lead": Whole("max", before_first)}, splits)
+    return seen.withColumns(
+        {
+            "msk0": missing.cast("double"),
+            "sum_msk0": F.col("sum_msk0").cast("double"),
+            "lead": F.coalesce("lead", F.lit(0)),
+        }
     )
-    return running_count(kept, id, order, "n", splits)
+
+
+def drop_leading(marked: DataFrame) -> DataFrame:
+    """Drop the marked leading rows and count `n` from the first row kept."""
+    return marked.filter(F.col("n") > F.col("lead")).withColumn("n", F.col("n") - F.col("lead")).drop("lead")
+
+
+def trim_leading(
+    df: DataFrame, id: str = "stay_id", order=TIME_ORDER, value: str = "glc", splits: Splits | None = None
+) -> DataFrame:
+    """Drop each entity's rows before its first known value.
+
+    Adds `msk0`, `sum_msk0` (counted before the trim) and `n` (1-based position after the trim).
+    """
+    return drop_leading(mark_leading(df, id, order, value, splits))
 
 
 def interpolate_by_position(
@@ -90,6 +108,7 @@ def interpolate_by_position(
     A trailing gap takes the last value; of a leading gap only the `back_limit` rows next to the first value
     are filled, with that value.
     """
+    splits = splits_for(df, [id], order[0], splits)
     placed = running_count(df, id, order, "_i", splits)
     point = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("_i").alias("i")))
     seen = scan(placed, [id], order, {"_a": LastSeen(point), "_b": NextSeen(point)}, splits)
@@ -108,11 +127,10 @@ def replace_outliers(
     df: DataFrame, columns=codes.DOSE_COLUMNS, limit: float = codes.DOSE_LIMIT, rows: int | None = None
 ) -> DataFrame:
     """Replace values above `limit` by the exact median of the column's positive values."""
-    new = {}
-    for c in columns:
-        middle = exact_median(df.filter(F.col(c) > 0), [], c, rows=rows).scalar()
-        new[c] = F.when(F.col(c) > limit, middle).otherwise(F.col(c))
-    return df.withColumns(new)
+    middle = column_medians(df.select(*[F.when(F.col(c) > 0, F.col(c)).alias(c) for c in columns]), columns, rows)
+    return df.withColumns(
+        {c: F.when(F.col(c) > limit, F.lit(middle[c])).otherwise(F.col(c)) for c in columns}
+    )
 
 
 def add_gap(df: DataFrame) -> DataFrame:
@@ -141,6 +159,7 @@ def next_observed(
     splits: Splits | None = None,
 ) -> DataFrame:
     """On observed rows: the next observed value and its time, position and zero masks; NULL elsewhere."""
+    splits = splits_for(df, [id, observed], time, splits)
     seen = with_neighbours(
         df,
         [id, observed],
@@ -198,11 +217,10 @@ def histogram(df: DataFrame, value: str | Column, bins: int, where: Column | Non
     value = F.col(value) if isinstance(value, str) else value
     data = (df if where is None else df.filter(where)).select(value.cast("double").alias("_x"))
     data = data.filter(F.col("_x").isNotNull())
-    ends = data.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    low, high = ends.select("lo").scalar(), ends.select("hi").scalar()
-    # a single repeated value gets a bin range of one around it
-    lo = F.when(low == high, low - F.lit(0.5)).otherwise(low)
-    hi = F.when(low == high, high + F.lit(0.5)).otherwise(high)
+    low, high = data.agg(F.min("_x"), F.max("_x")).first()
+    if low is not None and low == high:  # a single repeated value gets a range of one around it
+        low, high = low - 0.5, high + 0.5
+    lo, hi = F.lit(low).cast("double"), F.lit(high).cast("double")
     slot = F.least(F.floor((F.col("_x") - lo) * F.lit(bins) / (hi - lo)), F.lit(bins - 1)).cast("int")
     counts = data.groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))

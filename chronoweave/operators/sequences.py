@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.operators.ordered import Running, Whole, add_row_id, scan
-from chronoweave.operators.splits import Splits
+from chronoweave.operators.splits import Splits, splits_for
 from chronoweave.roles import Roles
 
 SEGMENT = 10_000
@@ -30,6 +30,7 @@ def to_sequences(
     rows, numbered by `seg`, that follow each other: no step is lost and no row grows without bound.
     """
     order = order or [roles.time_vars[0], roles.key]
+    splits = splits_for(df, [roles.id], order[0], splits)
     steps = scan(df, [roles.id], order, {"_i": Running(F.lit(1))}, splits)
     if max_len is not None:
         steps = steps.filter(F.col("_i") <= max_len)

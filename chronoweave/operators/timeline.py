@@ -16,7 +16,7 @@ from chronoweave.operators.ranges import (
     stab_pairs,
     sum_points_between,
 )
-from chronoweave.operators.splits import Splits
+from chronoweave.operators.splits import Splits, splits_for
 from chronoweave.schemas import STAY_COLUMNS
 
 TIMELINE = {
@@ -120,6 +120,7 @@ def to_wide(long: DataFrame, splits: Splits | None = None) -> DataFrame:
     An infusion is in force at its own time and while start <= time < end; overlapping infusions repeat the
     row. `timer_prev` and `glc_next` look at the repeated rows, as in the original.
     """
+    splits = splits_for(long, ["stay_id"], "timer", splits)
     attributes = [c for c in STAY_COLUMNS if c in long.columns]
     keys = ["subject_id", "hadm_id", "stay_id", "timer", *attributes]
     kind = F.lower("event")
@@ -185,6 +186,7 @@ def add_nutrition(
     TPN orders that overlap repeat the row. With `repeat_rows=False` they do not: `tpn_rate` is then the mean
     over the orders in force and `n_tpn` their number, for callers that drop such stays anyway.
     """
+    splits = splits_for(wide, ["stay_id"], "timer", splits)
     tpn = parenteral.filter(F.col("tpn_rate").isNotNull()).select(
         "stay_id", F.col("starttime").alias("_tpn_start"), F.col("endtime").alias("_tpn_end"), "tpn_rate"
     )
@@ -199,7 +201,7 @@ def add_nutrition(
         out = stab_intervals(out, tpn, ["stay_id"], "timer", "_tpn_start", "_tpn_end", splits=splits)
         out = out.drop("_tpn_start", "_tpn_end")
     fluid = parenteral.filter(F.col("dextrose_fluid").isNotNull()).select("stay_id", "starttime", "dextrose_fluid")
-    given = sum_points_between(wide, fluid, ["stay_id"], "dextrose_fluid")
+    given = sum_points_between(wide, fluid, ["stay_id"], "dextrose_fluid", splits=splits)
     return out.join(given, ["stay_id", "timer"], "left")
 
 

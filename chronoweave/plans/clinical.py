@@ -38,7 +38,8 @@ class RawTables:
 
 def stay_timeline(raw: RawTables, cap: str = "distinct_count", exact: bool = False) -> DataFrame:
     """Readings and treatments inside a stay, with the stay's attributes."""
-    timeline = build_timeline(clean_readings(raw.chart, raw.labs), clean_treatments(raw.orders, cap, exact))
+    # stored, because the stay assignment first measures the timeline and then joins it
+    timeline = pin(build_timeline(clean_readings(raw.chart, raw.labs), clean_treatments(raw.orders, cap, exact)))
     return assign_stays(timeline, stay_attributes(raw.stays, raw.comorbidity, raw.weight))
 
 

@@ -13,29 +13,23 @@ from chronoweave.operators.timeline import wide_order
 from chronoweave.sources.tables import write_csv
 
 
-def trimmed(wide: DataFrame, splits: Splits | None = None) -> DataFrame:
-    """Known stays with two readings or more, from the first reading to the last known target, with row ids.
+def modelling_cohort(wide: DataFrame, splits: Splits | None = None) -> DataFrame:
+    """Known stays with two readings or more, from the first reading to the last known target, made ready to fit.
 
     Row ids are given after the trailing and before the leading trim, so the leading trim leaves gaps in them.
+    All windows along the stay come first and share one shuffle; giving row ids then stores the table, and
+    what follows reads the stored columns it needs.
     """
-    df = c.lower_names(wide.filter(F.col("stay_id").isNotNull()))
+    df = c.lower_names(wide).filter(F.col("stay_id").isNotNull())
     splits = splits or find_splits(df, ["stay_id"], "timer")
     order = wide_order(df)
-    df = c.add_gap(df)
     df = c.keep_min_readings(df, order=order, splits=splits)
     df = c.trim_trailing(df, order=order, splits=splits)
-    df = add_row_id(df, ["stay_id", *order])
-    return c.trim_leading(df, order=order, splits=splits)
-
-
-def modelling_cohort(wide: DataFrame, splits: Splits | None = None) -> DataFrame:
-    df = c.lower_names(wide)
-    splits = splits or find_splits(df, ["stay_id"], "timer")
-    df = trimmed(df, splits)
+    df = c.mark_leading(df, order=order, splits=splits)
+    df = c.interpolate_by_position(df, order=order, splits=splits)
+    df = c.drop_leading(add_row_id(df, ["stay_id", *order]))
     df = c.replace_outliers(df)
-    df = c.add_masks_and_clocks(df)
-    df = c.interpolate_by_position(df, order=wide_order(df), splits=splits)
-    return c.fill_zero(df)
+    return c.fill_zero(c.add_masks_and_clocks(c.add_gap(df)))
 
 
 def save_cohort(df: DataFrame, main: str, validation: str, share: float = 0.1, seed: int = 0) -> None:
