@@ -16,6 +16,7 @@ from chronoweave.session import rows_per_split
 
 Link = Callable[[Column], Column]
 SIGMA_CAP = 2.0
+UPDATE_OFFSET = 1e-5
 
 
 def prepare_forecasts(
@@ -109,7 +110,8 @@ def score_points(df: DataFrame, by: list[str], ginv: Link = identity) -> DataFra
 def score_losses(df: DataFrame, by: list[str], error: float = 0.01, ginv: Link = exp_link) -> DataFrame:
     """Training losses as sums: negative log-likelihood, squared error and update divergence.
 
-    The divergence compares the forecast with a narrow normal of deviation `error` around the observed value.
+    The divergence compares the forecast with a narrow normal of deviation `error` around the observed value;
+    `nll_update` is the likelihood term used in its place, with the deviation kept off zero.
     """
     y, mu, sigma = F.col("target"), F.col("mu"), F.col("sigma")
     density = F.when(sigma > 0, normal_log_density(y, mu, sigma))
@@ -119,6 +121,7 @@ def score_losses(df: DataFrame, by: list[str], error: float = 0.01, ginv: Link =
         F.count(F.lit(1)).alias("n"),
         F.sum(-density).alias("nll"),
         F.avg(-density).alias("nll_mean"),
+        F.sum(-normal_log_density(y, mu, sigma + F.lit(UPDATE_OFFSET))).alias("nll_update"),
         F.sum(squared).alias("sse"),
         F.sqrt(F.avg(squared)).alias("rmse"),
         F.sum(F.lit(math.exp(own)) * (F.lit(own) - density)).alias("update_divergence"),

@@ -49,7 +49,7 @@ def select_prefixes(df: DataFrame, *prefixes: str) -> DataFrame:
 
 
 def drop_empty(df: DataFrame, columns=codes.METRICS, how: str = "all") -> DataFrame:
-    return df.na.drop(how, list(columns))
+    return df.na.drop(how, subset=list(columns))
 
 
 def rescale(df: DataFrame, **changes: Column) -> DataFrame:

@@ -37,8 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="chronoweave-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chronoweave-"))
+        shared = spark.sparkContext.getCheckpointDir()
     return shared
 
 

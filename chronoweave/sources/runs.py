@@ -16,8 +16,9 @@ def with_path_facts(df: DataFrame, prefix: str = "") -> DataFrame:
 
     `run_folder` is the folder's name, `fold` the last digit group of the path, `run` the first digits of the
     folder, `group_folder` the folder above. Folders that do not start with `prefix`, or start with a dot, go.
+    A file may also be a folder of part files, as Spark writes it.
     """
-    path = F.col("_metadata.file_path")
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]*$", "")
     folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
     out = df.select(
         "*",
@@ -40,9 +41,10 @@ def read_predictions(spark: SparkSession, root: str, prefix: str = "version", ta
 def read_metrics(spark: SparkSession, root: str, name: str = "metrics.csv") -> DataFrame:
     """All metric logs under `root`, one file per run, whose columns may differ; a missing column is NULL.
 
-    Only the file list and the headers pass through the driver.
+    Only the file list, one name per run, and the headers pass through the driver.
     """
-    listing = spark.read.format("binaryFile").load(f"{root}/*/{name}").select("path").collect()
+    listing = spark.read.format("binaryFile").load(f"{root}/*/{name}").select("path")
+    listing = listing.select(F.regexp_replace("path", r"/part-[^/]*$", "").alias("path")).distinct().collect()
     frames = []
     for path in sorted(r["path"] for r in listing):
         frame = spark.read.option("header", True).option("inferSchema", True).csv(path)
@@ -61,7 +63,7 @@ def read_run_metrics(spark: SparkSession, root: str, prefix: str = "", columns=c
     if prefix:
         metrics = metrics.filter(F.col("run_folder").startswith(prefix))
     models = run_models(read_predictions(spark, root, prefix))
-    kept = metrics.select("run_folder", "run", *columns).na.drop("all", list(columns))
+    kept = metrics.select("run_folder", "run", *columns).na.drop("all", subset=list(columns))
     return kept.join(models, "run_folder")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.functions import codes
+from chronoweave.functions.links import log_link
+from chronoweave.operators.ordered import with_neighbours
 from chronoweave.plans.clinical import RawTables
 
 K = "cast(get_json_object(props, '$.k') as int)"
@@ -24,6 +26,8 @@ STATUS_CYCLE = ("Rewritten", None, "Paused", "Stopped", *["FinishedRunning"] * 6
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # times without a zone are compared as instants, which is only safe where no clock change interferes
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -197,8 +201,6 @@ def clinical_tables(spark: SparkSession, sf_dir: str) -> RawTables:
 def modelling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The timeline as one row per stay and time: value, next value, dose, and hours since the stay began."""
     base = timeline(spark, sf_dir)
-    from chronoweave.operators.ordered import with_neighbours
-
     base = base.join(base.groupBy("stay_id").agg(F.min("timer").alias("icu_intime")), "stay_id")
     return with_neighbours(
         base.select(
@@ -226,9 +228,6 @@ def modelling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A persistence forecast per pair of neighbouring readings, as two models over three folds."""
-    from chronoweave.functions.links import log_link
-    from chronoweave.operators.ordered import with_neighbours
-
     readings = (
         load(spark, sf_dir, "events")
         .filter("event_type in ('view', 'click')")

@@ -932,6 +932,11 @@ SELECT {i('fold')}, count(*) AS n, count(DISTINCT o_custkey) AS customers, min(o
        max(o_custkey) AS last_customer, {r('sum(o_totalprice)', 'total', 2)}
 FROM orders JOIN (SELECT o_custkey AS c, ntile(3) OVER (ORDER BY o_custkey) - 1 AS fold
                   FROM (SELECT DISTINCT o_custkey FROM orders)) ON c = o_custkey GROUP BY fold"""
+KEPT = "o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"
+ORACLES["orders_in_and_out"] = f"""
+SELECT CASE WHEN {KEPT} THEN 'kept' ELSE 'dropped' END AS side, count(*) AS n, {r('sum(o_totalprice)', 'total', 2)}
+FROM orders GROUP BY 1"""
+ORACLES["customers_with_orders"] = "SELECT DISTINCT o_custkey FROM orders"
 ORACLES["customer_split"] = """
 SELECT held_out, CAST(CASE WHEN held_out THEN ceil(0.1 * n) ELSE n - ceil(0.1 * n) END AS BIGINT) AS customers
 FROM (SELECT count(DISTINCT o_custkey) AS n FROM orders), (VALUES (TRUE), (FALSE)) AS v(held_out)"""
@@ -1032,6 +1037,7 @@ oracle(
     "training_losses",
     f"""
 SELECT model, count(*) AS n, {r('sum(-lp)', 'nll', 3)}, {r('avg(-lp)', 'nll_mean', 3)}, {r('sum(e * e)', 'sse', 3)},
+       {r('sum(0.5 * ln(2 * pi()) + ln(sigma + 1e-5) + (target - mu) ** 2 / (2 * (sigma + 1e-5) ** 2))', 'nll_update', 3)},
        {r('sqrt(avg(e * e))', 'rmse', 3)}, {r(f'sum(exp{OWN} * ({OWN} - lp))', 'update_divergence', 3)},
        {r('sum((mu - target) ** 2)', 'sse_link', 3)}
 FROM (SELECT *, -0.5 * ln(2 * pi()) - ln(sigma) - (target - mu) ** 2 / (2 * sigma ** 2) AS lp,
@@ -1063,6 +1069,29 @@ oracle(
 SELECT model, {i('fold')}, count(*) AS n, {r('sum(mu)', 'sum_mu')}, {r('sum(sigma)', 'sum_sigma')} FROM forecasts GROUP BY model, fold""",
     "forecasts",
 )
+oracle(
+    "runs_from_files",
+    f"""
+SELECT model, {i('fold')}, 1 + {i('fold')[: -len(' AS fold')]} AS run, count(*) AS n, {r('sum(mu)', 'sum_mu')}
+FROM forecasts GROUP BY model, fold""",
+    "forecasts",
+)
+oracle(
+    "metrics_from_files",
+    f"""
+SELECT 'version_' || (fold + 1) AS run_folder, model, {r('crps_mean', digits=5)}, {r('rmse', digits=5)}
+FROM by_fold WHERE model = 'even'""",
+    "by_fold",
+)
+oracle(
+    "swept_results",
+    f"""
+SELECT CAST(value AS BIGINT) AS value, model, {r('rmse', digits=5)}, ig_mean FROM (
+    SELECT 1 AS value, model, rmse, {r('ig_mean', digits=5)} FROM by_model
+    UNION ALL SELECT 2, model, rmse, NULL FROM of_stratum)""",
+    "by_model",
+    "of_stratum",
+)
 ORACLES["linear_price_model"] = f"""
 WITH x AS (SELECT *, l_extendedprice / 10000 AS y, l_quantity AS q FROM lineitem),
 a AS MATERIALIZED (SELECT regr_intercept(y, q) AS a0, regr_slope(y, q) AS a1 FROM x WHERE l_orderkey % 2 = 0),

@@ -7,13 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoweave.functions import codes
 from chronoweave.functions.links import exp_link
 from chronoweave.operators import cohort, entities, features, nutrition, quality, readings, scoring, summaries
 from chronoweave.operators import sequences, timeline, trajectories, treatments
 from chronoweave.operators.models import fit_linear
-from chronoweave.operators.ordered import add_row_id
+from chronoweave.operators.ordered import add_row_id, with_neighbours
 from chronoweave.operators.pairing import pair_events
 from chronoweave.operators.ranges import Layer, in_force, stab_intervals, sum_points_between
 from chronoweave.operators.splits import find_splits
@@ -22,8 +23,8 @@ from chronoweave.plans import cohort as cohort_plan
 from chronoweave.plans.experiment import run_folds, run_grid
 from chronoweave.roles import Roles
 from chronoweave.session import pin, shared_folder
-from chronoweave.sources.runs import save_predictions
-from chronoweave.sources.tables import read_csv, write_rows_csv
+from chronoweave.sources.runs import read_predictions, read_run_metrics, save_predictions
+from chronoweave.sources.tables import read_csv, write_csv, write_rows_csv
 from registry import mapping as m
 from registry.present import shown
 
@@ -192,8 +193,6 @@ def wide_timeline_without_fan_out(spark, d):
 
 def _probes(spark, d) -> DataFrame:
     """Readings with the previous reading's time."""
-    from chronoweave.operators.ordered import with_neighbours
-
     seen = m.timeline(spark, d).filter(F.col("glc").isNotNull()).select("stay_id", "timer", "glc")
     return with_neighbours(seen, ["stay_id"], ["timer"], 1, lambda w: {"timer_prev": F.lag("timer").over(w)})
 
@@ -363,8 +362,6 @@ def numbered_rows(spark, d):
 @query()
 def numbered_csv(spark, d):
     """Rows written as CSV with a row number and read back with a declared schema."""
-    from pyspark.sql import types as T
-
     path = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
     orders = m.load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     write_rows_csv(orders, path, ["o_custkey", "o_orderkey"])
@@ -410,6 +407,24 @@ def customer_folds(spark, d):
     )
 
 
+@query(2)
+def orders_in_and_out(spark, d):
+    """Orders of the customers on a list, and all others."""
+    orders = m.load(spark, d, "orders")
+    listed = m.load(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    sides = {
+        "kept": entities.keep_entities(orders, listed, "o_custkey"),
+        "dropped": entities.drop_entities(orders, listed, "o_custkey"),
+    }
+    totals = {k: v.agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")) for k, v in sides.items()}
+    return summaries.tagged_union(totals, "side")
+
+
+@query()
+def customers_with_orders(spark, d):
+    return entities.distinct_entities(m.load(spark, d, "orders"), "o_custkey")
+
+
 @query()
 def customer_split(spark, d):
     """Sizes of a hash split by customer: the share is exact, which customers go where is up to the hash."""
@@ -617,6 +632,49 @@ def saved_predictions(spark, d):
     )
 
 
+@query()
+def runs_from_files(spark, d):
+    """Prediction files, one folder per run, read back with fold and run taken from their paths."""
+    root = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    rows = m.forecasts(spark, d)
+    for fold in range(3):
+        kept = rows.filter(F.col("fold") == fold).select("rn", "mu", "sigma", "model")
+        write_csv(kept, f"{root}/version_{fold + 1}/predictions_{fold}.csv")
+    back = read_predictions(spark, root)
+    return back.groupBy("model", "fold", "run").agg(F.count(F.lit(1)).alias("n"), F.sum("mu").alias("sum_mu"))
+
+
+@query(5)
+def metrics_from_files(spark, d):
+    """Metric logs of runs that also left predictions, with the run's model name."""
+    root = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    scores = pin(scoring.score(_scored(spark, d), ["model", "fold"], exp_link).filter("model = 'even'"))
+    rows = m.forecasts(spark, d).filter("model = 'even'")
+    for fold in range(3):
+        folder = f"{root}/version_{fold + 1}"
+        write_csv(scores.filter(F.col("fold") == fold).drop("model", "fold"), f"{folder}/metrics.csv")
+        write_csv(rows.filter(F.col("fold") == fold).select("rn", "mu", "sigma", "model"), f"{folder}/predictions_0.csv")
+    return read_run_metrics(spark, root, "version").select("run_folder", "model", "crps_mean", "rmse")
+
+
+@query(5)
+def swept_results(spark, d):
+    """Scores of two settings stacked with the setting's value; the second lacks one metric."""
+    rows = m.forecasts(spark, d)
+    known = rows.selectExpr("rn", "glc_next", "0.0d as msk", "user_id")
+    predictions = rows.select("rn", "mu", "sigma", "model", "fold")
+    kept = scoring.prepare_forecasts(predictions, known, where=F.col("user_id") % 4 == 0)
+    first = scoring.score(_scored(spark, d), ["model"], exp_link).select("model", "rmse", "ig_mean")
+    second = scoring.score(kept, ["model"], exp_link, alpha=0.2).select("model", "rmse")
+    return summaries.tagged_union({1: first, 2: second}, "value")
+
+
+@query()
+def boluses_capped_by_sketch(spark, d):
+    """The default cap, whose distinct count is a sketch."""
+    return treatments.clean_boluses(treatments.raw_treatments(m.clinical_tables(spark, d).orders))
+
+
 # ------------------------------------------------------------------ models
 
 
