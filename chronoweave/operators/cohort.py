@@ -55,34 +55,73 @@ def trim_trailing(
     return scan(df, [id], order, {"_known": known}, splits).filter(F.col("_known").isNotNull()).drop("_known")
 
 
+def keep_usable(
+    df: DataFrame, id: str = "stay_id", order=TIME_ORDER, value: str = "glc", target: str = "glc_next", n: int = 2,
+    splits: Splits | None = None,
+) -> DataFrame:
+    """`keep_min_readings` and `trim_trailing` in one pass; neither changes what the other counts."""
+    wanted = {
+        "_known": Whole("sum", _flag(F.col(value).isNotNull())),
+        "_ahead": NextSeen(F.when(F.col(target).isNotNull(), F.lit(1))),
+    }
+    seen = scan(df, [id], order, wanted, splits)
+    return seen.filter((F.col("_known") >= n) & F.col("_ahead").isNotNull()).drop("_known", "_ahead")
+
+
+def _positions(df: DataFrame, id: str, order, value: str, splits: Splits) -> DataFrame:
+    """`n` (1-based position), `msk0` (value missing) and `sum_msk0` (missing so far)."""
+    missing = _flag(F.col(value).isNull())
+    wanted = {"n": Running(F.lit(1)), "sum_msk0": Running(missing)}
+    return scan(df.drop("n", "msk0", "sum_msk0"), [id], order, wanted, splits).withColumn("msk0", missing.cast("double"))
+
+
+def _lead(value: str) -> Running:
+    """Rows before the first known value: what was missing when it came. NULL before it."""
+    return Running(F.when(F.col(value).isNotNull(), F.col("sum_msk0")), "min")
+
+
+def _around(value: str, place: str) -> dict[str, LastSeen | NextSeen]:
+    """The known values next to a row, with their positions."""
+    point = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(place).alias("i")))
+    return {"_a": LastSeen(point), "_b": NextSeen(point)}
+
+
+def _filled(value: str, place: str, back_limit: int) -> Column:
+    i = F.col(place)
+    v0, i0, v1, i1 = F.col("_a.v"), F.col("_a.i"), F.col("_b.v"), F.col("_b.i")
+    return (
+        F.when(F.col(value).isNotNull(), F.col(value))
+        .when(v0.isNotNull() & v1.isNotNull(), v0 + (v1 - v0) * (i - i0) / (i1 - i0))
+        .when(v0.isNotNull(), v0)
+        .when(i1 - i <= back_limit, v1)
+    )
+
+
 def mark_leading(
     df: DataFrame, id: str = "stay_id", order=TIME_ORDER, value: str = "glc", splits: Splits | None = None
 ) -> DataFrame:
-    """Add `msk0` (value missing, 1.0/0.0), `sum_msk0` (missing so far), `n` (1-based position) and `lead`
-    (rows before the entity's first known value)."""
+    """Add `msk0` (value missing, 1.0/0.0), `sum_msk0` (missing so far), `n` (1-based position) and `lead` (rows
+    before the entity's first known value; NULL on those rows)."""
     splits = splits_for(df, [id], order[0], splits)
-    missing = _flag(F.col(value).isNull())
-    seen = scan(
-        df.drop("n", "msk0", "sum_msk0"),
-        [id],
-        order,
-        {"n": Running(F.lit(1)), "sum_msk0": Running(missing)},
-        splits,
-    )
-    before_first = F.when(F.col("sum_msk0") == F.col("n"), F.col("n"))
-    seen = scan(seen, [id], order, {"lead": Whole("max", before_first)}, splits)
+    seen = scan(_positions(df, id, order, value, splits), [id], order, {"lead": _lead(value)}, splits)
+    return seen.withColumn("sum_msk0", F.col("sum_msk0").cast("double"))
+
+
+def mark_and_fill(
+    df: DataFrame, id: str = "stay_id", order=TIME_ORDER, value: str = "glc", splits: Splits | None = None
+) -> DataFrame:
+    """`mark_leading` and `interpolate_by_position` in one go, for rows that `drop_leading` then cuts."""
+    splits = splits_for(df, [id], order[0], splits)
+    wanted = {"lead": _lead(value), **_around(value, "n")}
+    seen = scan(_positions(df, id, order, value, splits), [id], order, wanted, splits)
     return seen.withColumns(
-        {
-            "msk0": missing.cast("double"),
-            "sum_msk0": F.col("sum_msk0").cast("double"),
-            "lead": F.coalesce("lead", F.lit(0)),
-        }
-    )
+        {value: _filled(value, "n", 0), "sum_msk0": F.col("sum_msk0").cast("double")}
+    ).drop("_a", "_b")
 
 
 def drop_leading(marked: DataFrame) -> DataFrame:
     """Drop the marked leading rows and count `n` from the first row kept."""
-    return marked.filter(F.col("n") > F.col("lead")).withColumn("n", F.col("n") - F.col("lead")).drop("lead")
+    return marked.filter(F.col("lead").isNotNull()).withColumn("n", F.col("n") - F.col("lead")).drop("lead")
 
 
 def trim_leading(
@@ -110,17 +149,8 @@ def interpolate_by_position(
     """
     splits = splits_for(df, [id], order[0], splits)
     placed = running_count(df, id, order, "_i", splits)
-    point = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("_i").alias("i")))
-    seen = scan(placed, [id], order, {"_a": LastSeen(point), "_b": NextSeen(point)}, splits)
-    i = F.col("_i")
-    v0, i0, v1, i1 = F.col("_a.v"), F.col("_a.i"), F.col("_b.v"), F.col("_b.i")
-    filled = (
-        F.when(F.col(value).isNotNull(), F.col(value))
-        .when(v0.isNotNull() & v1.isNotNull(), v0 + (v1 - v0) * (i - i0) / (i1 - i0))
-        .when(v0.isNotNull(), v0)
-        .when(i1 - i <= back_limit, v1)
-    )
-    return seen.withColumn(value, filled).drop("_i", "_a", "_b")
+    seen = scan(placed, [id], order, _around(value, "_i"), splits)
+    return seen.withColumn(value, _filled(value, "_i", back_limit)).drop("_i", "_a", "_b")
 
 
 def replace_outliers(

@@ -32,7 +32,8 @@ def with_neighbours(
     if not splits.any:
         return df.withColumns(build(Window.partitionBy(*keys).orderBy(*forward)))
     window = Window.partitionBy(*keys, PART).orderBy(*forward)
-    return splits.widen(df, order, reach).withColumns(build(window)).filter(~F.col(HALO)).drop(HALO, PART)
+    out = splits.widen(df, order, reach).withColumns(build(window)).filter(~F.col(HALO)).drop(HALO)
+    return out if PART in df.columns else out.drop(PART)
 
 
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -100,7 +101,7 @@ def scan(
     """
     splits = splits_for(df, keys, order[0], splits)
     order = as_columns(order)
-    base = splits.spread(splits.tag(df)) if splits.any else df
+    base = splits.place(df)
     whole = Window.partitionBy(*keys, *([PART] if splits.any else []))
     # "from here to the end" is written as "from the end to here": Spark's frame that starts at the current
     # row works through the rest of the partition again for every row
@@ -138,7 +139,7 @@ def scan(
     names = [f"_k_{k}" for k in keys]
     # stored: the totals are a pass over the input, which the rows below are another pass over
     carried = (
-        pin(splits.only_hot(splits.tag(df)).groupBy(*keys, PART).agg(*totals))
+        pin(splits.only_hot(df if PART in df.columns else splits.tag(df)).groupBy(*keys, PART).agg(*totals))
         .withColumns(across)
         .select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(PART).alias("_k_part"), *across)
     )
@@ -157,7 +158,8 @@ def scan(
             merged[name] = F.when(F.col("_k_part").isNull(), F.col(name)).otherwise(carry)
         else:
             merged[name] = F.coalesce(F.col(name), carry)
-    return done.withColumns(merged).drop(*names, "_k_part", PART, *across)
+    done = done.withColumns(merged).drop(*names, "_k_part", *across)
+    return done if PART in df.columns else done.drop(PART)
 
 
 def add_row_id(df: DataFrame, order: list[str], name: str = "rn", start: int = 0) -> DataFrame:

@@ -76,7 +76,7 @@ class Splits:
 
     def widen(self, df: DataFrame, order: list[Column], reach: int) -> DataFrame:
         """Tag `df` and add, to every part, the `reach` rows just before and just after it (`_halo` = true)."""
-        tagged = self.tag(df)
+        tagged = df if PART in df.columns else self.tag(df)
         if not self.any:
             return tagged.withColumn(HALO, F.lit(False))
         forward = [c.asc_nulls_first() for c in order]
@@ -100,6 +100,10 @@ class Splits:
         wide = tagged.withColumn(HALO, F.lit(False)).unionByName(copies.withColumn(HALO, F.lit(True)))
         return self.spread(wide)
 
+    def place(self, df: DataFrame) -> DataFrame:
+        """Tag and spread `df` once for a run of operators; they keep the `_part` column they find."""
+        return df if not self.any or PART in df.columns else self.spread(self.tag(df))
+
     def spread(self, tagged: DataFrame) -> DataFrame:
         """Shuffle by entity and part, so that an over-full entity's parts land in different tasks.
 

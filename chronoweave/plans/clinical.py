@@ -52,6 +52,9 @@ def paired_timeline(
     paired = pair_events(
         timeline, tolerance_min=tolerance_min, strict_reference=strict_reference, splits=by_admission
     )
+    if by_admission.any or by_stay.any:
+        # every step along cut entities reads its input twice, for the rows at the cuts and for all rows
+        return pin(flag_repeated(pin(paired), splits=by_stay)), by_stay
     return flag_repeated(paired, splits=by_stay), by_stay
 
 

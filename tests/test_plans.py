@@ -8,7 +8,7 @@ from chronoweave.operators import cohort
 from chronoweave.operators.nutrition import enteral_amounts
 from chronoweave.operators.ordered import add_row_id
 from chronoweave.operators.pairing import pair_events
-from chronoweave.operators.splits import Splits, find_splits
+from chronoweave.operators.splits import PART, Splits, find_splits
 from chronoweave.operators.treatments import raw_treatments
 from chronoweave.schemas import INPUTEVENTS
 from chronoweave.session import pin
@@ -39,6 +39,16 @@ def test_cohort_windows_share_one_shuffle(spark):
     df = cohort.mark_leading(df, splits=splits)
     df = cohort.interpolate_by_position(df, splits=splits)
     assert shuffles(df) == 1
+    assert shuffles(cohort.mark_and_fill(cohort.keep_usable(rows, splits=splits), splits=splits)) == 1
+
+
+def test_placed_rows_are_shuffled_once(spark):
+    rows = pin(m.modelling_rows(spark, SF))
+    splits = find_splits(rows, ["stay_id"], "timer", rows=20)
+    placed = splits.place(rows)
+    df = cohort.mark_and_fill(cohort.keep_usable(placed, splits=splits), splits=splits)
+    main = plan(df).split("BroadcastExchange")[0]
+    assert PART in df.columns and main.count("REPARTITION_BY_COL") == 1
 
 
 def test_item_filter_reaches_the_scan(spark, tmp_path):
