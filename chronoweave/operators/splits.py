@@ -56,7 +56,8 @@ class Splits:
         hot = F.broadcast(self.hot.toDF(*names, "_lo", "_width", "_base", "_cuts"))
         cell = F.least(F.floor((x - F.col("_lo")) / F.col("_width")), F.size("_base") - 1).cast("int")
         cell = F.greatest(cell, F.lit(0))
-        inside = F.size(F.filter(F.get(F.col("_cuts"), cell), lambda c: c <= x))
+        # cuts of the cell before x, counted without a lambda, which would take the row out of generated code
+        inside = F.array_position(F.sort_array(F.array_append(F.get(F.col("_cuts"), cell), x)), x) - 1
         part = F.when(F.col("_lo").isNotNull() & x.isNotNull(), F.get(F.col("_base"), cell) + inside)
         return (
             df.join(hot, same_keys([df[k] for k in self.keys], [F.col(n) for n in names]), "left")
@@ -143,7 +144,7 @@ def find_splits(df: DataFrame, keys: list[str], clock: str, rows: int | None = N
         key = tuple(r[k] for k in keys)
         wanted = min(-(-r["_n"] // rows), MOST_PARTS)
         step = max(1, parts // wanted)
-        times = sorted({c for c in found[key][step - 1 :: step] if c > r["_lo"]})
+        times = sorted({c for c in found[key][step - 1 :: step] if c < r["_hi"]})
         if not times:
             continue
         cells = 2 * (len(times) + 1)

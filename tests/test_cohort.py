@@ -1,9 +1,7 @@
-import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from chronoweave.operators import cohort, entities, features
 from chronoweave.roles import Roles, load_roles, roles_from

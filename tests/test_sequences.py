@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from chronoweave.operators import sequences, trajectories
 from chronoweave.roles import Roles
