@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, repetition, secret_scan, splitters
+from . import bpe, decontaminate, line_dedup, prefix_join, repetition, secret_scan, slots, splitters
 from .common import table
 
 TOKENIZER = "CHRONOWEAVE_TOKENIZER"
@@ -28,6 +28,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.similar(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,12 @@ def op6_secret_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs, model))
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards and reads them back: one row per sequence with its slot, shard and the checksum of its ids."""
+    layout = slots.materialise(table(spark, sf_dir, "documents"))
+    return slots.read(spark, layout).select("slot", "shard", F.octet_length("ids").cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_bpe_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
@@ -47,5 +61,11 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.shard(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op5_repetition_rules, op6_secret_models, op9_bpe_ranks, op10_sampled_splitters)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_prefix_join, op4_decontamination, op5_repetition_rules, op6_secret_models, op8_training_order,
+        op9_bpe_ranks, op10_sampled_splitters,
+    )
+}
 ORACLES: dict[str, str] = {}

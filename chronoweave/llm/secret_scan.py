@@ -54,8 +54,9 @@ def found(text: Column, pattern: str) -> Column:
 
 def labelled_sample(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
     """(value, secret) of the `sample_docs` smallest doc_ids: base matches are secrets, other long tokens are not."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).orderBy("doc_id", "text").limit(sample_docs)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    last = ids.where("doc_id is not null").orderBy("doc_id").limit(sample_docs).agg(F.max("doc_id")).first()[0]  # ids alone travel
+    some = docs.where(F.col("doc_id") <= F.lit(last).cast("long")).select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     secrets = F.concat(
         F.transform(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: v),
         F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)),
