@@ -187,9 +187,13 @@ class LineIndex:
         # The list of one document is as long as its own lines.
         return hits.groupBy("doc_id").agg(F.collect_list(F.struct("high", "low")).alias("gone"))
 
-    def clean(self, docs: DataFrame, most: int = 5) -> DataFrame:
-        """Every row of `docs` with text (bytes) after the drop, n_lines before it and n_dropped."""
-        base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    def clean(self, docs: DataFrame, most: int = 5, carry: list[str] | None = None) -> DataFrame:
+        """Every row of `docs` with text (bytes) after the drop, n_lines before it, n_dropped, and the columns of `carry`.
+
+        A NULL or empty text is one empty line; NULL stays NULL.
+        """
+        carried = F.struct(*(carry or [])).alias("carried") if carry else F.lit(None).cast("struct<none:int>").alias("carried")
+        base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), carried)
         least = self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,14 +207,16 @@ class LineIndex:
                     if drop:
                         lines = [x for x in lines if len(x) < least or _pair(line_key(x)) not in drop]
                     n_gone.append(n_lines[-1] - len(lines))
-                    kept.append(b"\n".join(lines))
+                    kept.append(b"\n".join(lines) if text.is_valid else None)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(kept, pa.binary()), pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())],
-                    names=["doc_id", "text", "n_lines", "n_dropped"],
+                    [ids, pa.array(kept, pa.binary()), pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64()), batch.column(3)],
+                    names=["doc_id", "text", "n_lines", "n_dropped", "carried"],
                 )
 
-        joined = base.join(self.dropped(most), "doc_id", "left").select("doc_id", "text", "gone")
-        return joined.mapInArrow(run, "doc_id long, text binary, n_lines long, n_dropped long")
+        joined = base.join(self.dropped(most), "doc_id", "left").select("doc_id", "text", "gone", "carried")
+        kind = joined.schema["carried"].dataType.simpleString()
+        done = joined.mapInArrow(run, f"doc_id long, text binary, n_lines long, n_dropped long, carried {kind}")
+        return done.select("doc_id", "text", "n_lines", "n_dropped", *([f"carried.{c}" for c in carry] if carry else []))
 
     def _shard(self):
         return F.pmod(F.col("high"), F.lit(self.shards)).cast("int")

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, prefix_join, repetition, secret_scan, slots, splitters
+from . import bpe, compact_windows, decontaminate, line_dedup, prefix_join, repetition, run_index, secret_scan, slots, splitters
 from .common import table
 
 TOKENIZER = "CHRONOWEAVE_TOKENIZER"
@@ -25,13 +25,18 @@ def tokenizer_path() -> str:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cleaned = line_dedup.build(docs).clean(docs, 5)
-    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit(b"")), 256).alias("kept_sha256"))
 
 
 def op2_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.similar(table(spark, sf_dir, "documents"))
 
 
+def op3_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = run_index.dedup(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +51,10 @@ def op6_secret_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs, model))
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passages(table(spark, sf_dir, "documents"))
+
+
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards and reads them back: one row per sequence with its slot, shard and the checksum of its ids."""
     layout = slots.materialise(table(spark, sf_dir, "documents"))
@@ -64,7 +73,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_line_dedup, op2_prefix_join, op4_decontamination, op5_repetition_rules, op6_secret_models, op8_training_order,
+        op1_line_dedup, op2_prefix_join, op3_run_index, op4_decontamination, op5_repetition_rules, op6_secret_models, op7_compact_windows, op8_training_order,
         op9_bpe_ranks, op10_sampled_splitters,
     )
 }

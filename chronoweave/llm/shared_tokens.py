@@ -40,12 +40,24 @@ class Shared:
 
     rows: DataFrame
     sets: DataFrame
+    shift: int  # an identity in `sets` is a token without this many low bits
 
 
 def class_of(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data)
 
 
+def with_class(docs: DataFrame) -> DataFrame:
+    """class, doc_id and text (bytes) of every row, where equal texts are a class."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = np.array([class_of(t.as_py() or b"") for t in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(classes), batch.column(0), batch.column(1)], names=["class", "doc_id", "text"])
+
+    return doc_key(docs).mapInArrow(named, "class long, doc_id long, text binary")
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
@@ -157,7 +169,7 @@ def shared_tokens(docs: DataFrame, tokens_of: Tokens, by_text: bool) -> Shared:
 
     replies = source.mapInArrow(scatter, "part int, data binary").groupBy("part").applyInArrow(count, "bucket int, data binary")
     sets = replies.groupBy("bucket").applyInArrow(collect, "class long, n long, n_single long, tokens array<long>, counts array<long>")
-    return Shared(rows, sets)
+    return Shared(rows, sets, int(shift))
 
 
 def _distinct(owner: np.ndarray, token: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:

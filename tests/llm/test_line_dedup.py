@@ -32,7 +32,7 @@ def brute(rows, most=5):
 
 
 def digest(cleaned):
-    return by_doc(cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)))
+    return by_doc(cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit(b"")), 256)))
 
 
 @pytest.mark.parametrize("docs", ["edge_docs", "some_docs", "no_docs"])
