@@ -105,6 +105,7 @@ DOSE_LIMIT = 50.0
 DISPLAY_NAMES = {
     "LinearModel": "LinearModel",
     "Catboost": "Catboost",
+    "BoostedTrees": "Boosted trees",
     "GRUModel": "TimeGap-GRU",
     "DecayGRUModel": "Decay-GRU",
     "ODEGRUModel": "ODE-GRU",

@@ -90,4 +90,4 @@ def fit_trees(
     variance = None
     if task == "gaussian":
         variance = boost("_sq", "_variance").fit(mean.transform(data).withColumn("_sq", _squared_error(label)))
-    return MeanVariance(tuple(inputs), mean, variance, "Catboost")
+    return MeanVariance(tuple(inputs), mean, variance, "BoostedTrees")

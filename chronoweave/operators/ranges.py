@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.functions.clock import micros
 from chronoweave.operators.ordered import Remaining, Running, scan
 from chronoweave.operators.splits import PART, Splits, splits_for
 
@@ -27,10 +28,6 @@ CLASSES = 12
 EXACT = "decimal(38,18)"  # sums of additions and removals must cancel to the last digit
 
 
-def _micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
-
-
 def stab_pairs(
     points: DataFrame,
     intervals: DataFrame,
@@ -48,7 +45,7 @@ def stab_pairs(
     are spread over its parts, and an interval goes to every part it reaches into.
     """
     splits = splits_for(points, keys, point, splits)
-    length = _micros(F.col(end)) - _micros(F.col(start))
+    length = micros(intervals, end) - micros(intervals, start)
     level = F
     for n in range(CLASSES):
         level = level.when(length <= MILLISECOND * BASE ** (n + 1), n)
@@ -58,11 +55,11 @@ def stab_pairs(
     stretch = F
     for n in range(CLASSES + 1):
         stretch = stretch.when(F.col("_level") == n, F.lit(MILLISECOND * BASE ** (n + 1)))
-    slots = F.sequence(F.floor(_micros(F.col(start)) / stretch), F.floor(_micros(F.col(end)) / stretch))
+    slots = F.sequence(F.floor(micros(intervals, start) / stretch), F.floor(micros(intervals, end) / stretch))
     own = {k: f"_i_{k}" for k in keys} | {"_level": "_i_level", "_slot": "_i_slot"}
     spread = sized.withColumn("_slot", F.explode(slots))
     placed = points.withColumn("_level", F.explode(F.array(*[F.lit(int(x)) for x in levels] or [F.lit(-1)])))
-    placed = placed.withColumn("_slot", F.floor(_micros(F.col(point)) / stretch))
+    placed = placed.withColumn("_slot", F.floor(micros(points, point) / stretch))
     if splits.any:
         placed = splits.tag(placed, point)
         spread = splits.tag(splits.tag(spread, start, "_from"), end, "_to")

@@ -24,10 +24,11 @@ def to_sequences(
     order: list | None = None,
     splits: Splits | None = None,
 ) -> DataFrame:
-    """One row per entity: step arrays `xt`, `xi`, `y`, `msk`, `dt`, `msk0`, `key`, static `x0` and `seqlen`.
+    """One row per entity and segment: step arrays `xt`, `xi`, `y`, `msk`, `dt`, `msk0`, `key`, static `x0`.
 
-    `max_len` keeps the first steps only (training). An entity of more than `segment` steps becomes several
-    rows, numbered by `seg`, that follow each other: no step is lost and no row grows without bound.
+    `max_len` keeps the first steps only (training). Rows hold `segment` steps each, the last one fewer, are numbered by
+    `seg` and follow each other, so no step is lost and no row grows without bound. `seqlen` is the length of the row,
+    `steps` that of the whole entity.
     """
     order = order or [roles.time_vars[0], roles.key]
     splits = splits_for(df, [roles.id], order[0], splits)
@@ -35,7 +36,7 @@ def to_sequences(
     if max_len is not None:
         steps = steps.filter(F.col("_i") <= max_len)
     first = F.when(F.col("_i") == 1, _vector(roles.static))
-    steps = scan(steps, [roles.id], order, {"_x0": Whole("max", first)}, splits)
+    steps = scan(steps, [roles.id], order, {"_x0": Whole("max", first), "_steps": Whole("max", F.col("_i"))}, splits)
     step = F.struct(
         F.col("_i").alias("i"),
         _vector([*roles.timevarying, *roles.counts]).alias("xt"),
@@ -44,33 +45,35 @@ def to_sequences(
         F.col(roles.target_mask).cast("int").alias("msk"),
         _vector(roles.time_vars).alias("dt"),
         F.col("msk0").cast("int").alias("msk0"),
-        F.col(roles.key).cast("int").alias("key"),
+        F.col(roles.key).cast("long").alias("key"),
     )
     grouped = (
         steps.select(
-            F.col(roles.id), F.floor((F.col("_i") - 1) / F.lit(segment)).cast("int").alias("seg"), step.alias("_s"), "_x0"
+            F.col(roles.id), F.floor((F.col("_i") - 1) / F.lit(segment)).cast("long").alias("seg"), step.alias("_s"), "_x0", "_steps"
         )
         .groupBy(roles.id, "seg")
-        .agg(F.array_sort(F.collect_list("_s")).alias("_s"), F.first("_x0").alias("x0"))
+        .agg(F.array_sort(F.collect_list("_s")).alias("_s"), F.first("_x0").alias("x0"), F.first("_steps").cast("long").alias("steps"))
     )
     return grouped.select(
         roles.id,
         "seg",
         F.size("_s").alias("seqlen"),
+        "steps",
         "x0",
         *[F.col(f"_s.{c}").alias(c) for c in ("xt", "xi", "y", "msk", "dt", "msk0", "key")],
     )
 
 
 def pad_batches(seq: DataFrame, roles: Roles, size: int = 128) -> DataFrame:
-    """Number sequences in id order, batch them, and pad each to its batch's longest.
+    """Number entities in id order, batch them, and pad each segment to the longest of that number in its batch.
 
     Padding is 0 for values and times, 1 for masks, -1 for keys. Only ids and lengths are sorted; the arrays
     stay where the grouping put them.
     """
-    index = add_row_id(seq.select(roles.id, "seg", "seqlen"), [roles.id, "seg"], "_rank")
-    index = index.withColumn("batch", F.floor(F.col("_rank") / F.lit(size)).cast("int"))
-    index = index.withColumn("_longest", F.max("seqlen").over(Window.partitionBy("batch"))).drop("_rank", "seqlen")
+    ranked = add_row_id(seq.filter(F.col("seg") == 0).select(roles.id), [roles.id], "_rank")
+    ranked = ranked.withColumn("batch", F.floor(F.col("_rank") / F.lit(size)).cast("long")).drop("_rank")
+    index = seq.select(roles.id, "seg", "seqlen").join(ranked, roles.id)
+    index = index.withColumn("_longest", F.max("seqlen").over(Window.partitionBy("batch", "seg"))).drop("seqlen")
     missing = F.col("_longest") - F.col("seqlen")
 
     def padded(name: str, value: Column) -> Column:
@@ -84,6 +87,7 @@ def pad_batches(seq: DataFrame, roles: Roles, size: int = 128) -> DataFrame:
         roles.id,
         "seg",
         "seqlen",
+        "steps",
         "x0",
         padded("xt", zeros(len(roles.timevarying) + len(roles.counts))),
         padded("xi", zeros(len(roles.intervention))),
@@ -91,7 +95,7 @@ def pad_batches(seq: DataFrame, roles: Roles, size: int = 128) -> DataFrame:
         padded("msk", F.lit(1)),
         padded("dt", zeros(2)),
         padded("msk0", F.lit(1)),
-        padded("key", F.lit(-1)),
+        padded("key", F.lit(-1).cast("long")),
     )
 
 

@@ -18,18 +18,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoweave.functions.clock import micros
 from chronoweave.session import pin, rows_per_split
 
 PART = "_part"
 HALO = "_halo"
-MOST_PARTS = 4096
 
 
 def position(df: DataFrame, clock: str) -> Column:
     """The clock as a number: microseconds for timestamps, itself otherwise."""
     kind = df.schema[clock].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(F.col(clock).cast("timestamp")).cast("double")
+        return micros(df, clock).cast("double")
     return F.col(clock).cast("double")
 
 
@@ -127,7 +127,7 @@ def find_splits(df: DataFrame, keys: list[str], clock: str, rows: int | None = N
     )
     if not sizes:
         return Splits(tuple(keys), clock, None)
-    parts = min(max(-(-r["_n"] // rows) for r in sizes), MOST_PARTS)
+    parts = max(-(-r["_n"] // rows) for r in sizes)
     levels = [i / parts for i in range(1, parts)]
     key_schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
     hot_keys = spark.createDataFrame([tuple(r[k] for k in keys) for r in sizes], key_schema)
@@ -142,7 +142,7 @@ def find_splits(df: DataFrame, keys: list[str], clock: str, rows: int | None = N
     table = []
     for r in sizes:
         key = tuple(r[k] for k in keys)
-        wanted = min(-(-r["_n"] // rows), MOST_PARTS)
+        wanted = -(-r["_n"] // rows)
         step = max(1, parts // wanted)
         times = sorted({c for c in found[key][step - 1 :: step] if c < r["_hi"]})
         if not times:

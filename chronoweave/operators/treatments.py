@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions import codes
+from chronoweave.session import pin
 
 TREATMENT_COLUMNS = [
     "subject_id", "hadm_id", "stay_id", "starttime", "endtime", "amount", "rate", "originalrate", "itemid",
@@ -85,7 +86,7 @@ def clean_infusions(raw: DataFrame, cap: str = "distinct_count", exact: bool = F
 
 
 def clean_treatments(orders: DataFrame, cap: str = "distinct_count", exact: bool = False) -> DataFrame:
-    raw = raw_treatments(orders)
+    raw = pin(raw_treatments(orders))  # read for both limits and both kinds of rows; the orders are read once
     return (
         clean_boluses(raw, cap, exact).distinct().unionByName(clean_infusions(raw, cap, exact).distinct())
     ).select(*TREATMENT_COLUMNS)

@@ -42,6 +42,19 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
+_pinned: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that `pin` has stored from this process so far; frames that read them are of no use afterwards."""
+    conf, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    while _pinned:
+        path = path_of(_pinned.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and go on from the stored copy.
 
@@ -50,4 +63,5 @@ def pin(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _pinned.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

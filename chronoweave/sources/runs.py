@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.functions import codes
-from chronoweave.schemas import POINT_PREDICTIONS, PREDICTIONS
+from chronoweave.schemas import METRIC_ROWS, POINT_PREDICTIONS, PREDICTIONS
 
 
-def with_path_facts(df: DataFrame, prefix: str = "") -> DataFrame:
+def with_path_facts(df: DataFrame, prefix: str = "", file_path: Column | None = None) -> DataFrame:
     """Add what the file's path tells.
 
     `run_folder` is the folder's name, `fold` the last digit group of the path, `run` the first digits of the
     folder, `group_folder` the folder above. Folders that do not start with `prefix`, or start with a dot, go.
     A file may also be a folder of part files, as Spark writes it.
     """
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]*$", "")
+    path = F.regexp_replace(F.col("_metadata.file_path") if file_path is None else file_path, r"/part-[^/]*$", "")
     folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
     out = df.select(
         "*",
@@ -31,25 +30,47 @@ def with_path_facts(df: DataFrame, prefix: str = "") -> DataFrame:
     return out.filter(F.col("run_folder").startswith(prefix)) if prefix else out
 
 
+def read_by_header(spark: SparkSession, pattern: str, known: list[str], kinds: dict[str, str], prefix: str = "") -> DataFrame:
+    """All CSV files of `pattern`, each read by its own header line; a column that a file lacks is NULL.
+
+    One scan, whatever the number of files: a line with a name of `known` among its fields is a header, and the distinct headers
+    (a handful; one per way of writing, not per file) pass through the driver. Columns are doubles unless `kinds` says
+    otherwise. Where no file matches there are no rows.
+    """
+    names = "|".join(known)
+    try:
+        lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("_path"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        lines = spark.createDataFrame([], "value string, _path string")
+    heads = lines.filter(F.col("value").rlike(f'(^|,)"?({names})"?(,|$)')).select("_path", F.col("value").alias("_head")).distinct()
+    distinct = sorted(r[0] for r in heads.select("_head").distinct().collect())
+    fields = {head: [c.strip().strip('"') for c in head.split(",")] for head in distinct}
+    columns = list(dict.fromkeys([*known, *(c for f in fields.values() for c in f)]))
+    rows = lines.join(heads, "_path").filter(F.col("value") != F.col("_head"))
+    parsed = {h: F.from_csv("value", ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in f)) for h, f in fields.items()}
+    out = []
+    for c in columns:
+        value = F.lit(None)
+        for head, f in fields.items():
+            if c in f:
+                value = F.when(F.col("_head") == head, parsed[head][c]).otherwise(value)
+        out.append(value.cast(kinds.get(c, "double")).alias(c))
+    return with_path_facts(rows.select("_path", *out), prefix, F.col("_path")).drop("_path")
+
+
 def read_predictions(spark: SparkSession, root: str, prefix: str = "version", task: str = "gaussian") -> DataFrame:
-    """All prediction files of all run folders under `root`, with fold and run from the path."""
+    """All prediction files of all run folders under `root`, with fold and run from the path; columns go by name."""
     schema = PREDICTIONS if task == "gaussian" else POINT_PREDICTIONS
-    files = spark.read.option("header", True).schema(schema).csv(f"{root}/*/predictions*")
-    return with_path_facts(files, prefix)
+    kinds = {f.name: f.dataType.simpleString() for f in schema}
+    found = read_by_header(spark, f"{root}/*/predictions*", schema.fieldNames(), kinds, prefix)
+    return found.select(*schema.fieldNames(), "run_folder", "fold", "run", "group_folder")
 
 
 def read_metrics(spark: SparkSession, root: str, name: str = "metrics.csv") -> DataFrame:
-    """All metric logs under `root`, one file per run, whose columns may differ; a missing column is NULL.
-
-    Only the file list, one name per run, and the headers pass through the driver.
-    """
-    listing = spark.read.format("binaryFile").load(f"{root}/*/{name}").select("path")
-    listing = listing.select(F.regexp_replace("path", r"/part-[^/]*$", "").alias("path")).distinct().collect()
-    frames = []
-    for path in sorted(r["path"] for r in listing):
-        frame = spark.read.option("header", True).option("inferSchema", True).csv(path)
-        frames.append(with_path_facts(frame).drop("fold"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """All metric logs under `root`, one file per run, whose columns may differ; a missing column is NULL."""
+    return read_by_header(spark, f"{root}/*/{name}", METRIC_ROWS.fieldNames(), {}).drop("fold")
 
 
 def run_models(predictions: DataFrame) -> DataFrame:
@@ -72,10 +93,10 @@ def swept_value(column: str = "group_folder"):
     return F.expr(f"substring({column}, 2)").try_cast("double")
 
 
-def save_predictions(df: DataFrame, path: str) -> None:
-    """One folder per model and fold, with `rn`, `mu` and, if present, `sigma`."""
+def save_predictions(df: DataFrame, path: str, files: int = 8) -> None:
+    """One folder per model and fold, with `rn`, `mu` and, if present, `sigma`; at most `files` files in each."""
     kept = [c for c in ("rn", "mu", "sigma", "model", "fold") if c in df.columns]
-    df.select(*kept).write.mode("overwrite").partitionBy("model", "fold").parquet(path)
+    df.select(*kept).repartition("model", "fold", F.pmod(F.xxhash64("rn"), F.lit(files))).write.mode("overwrite").partitionBy("model", "fold").parquet(path)
 
 
 def append_metrics(df: DataFrame, path: str) -> None:

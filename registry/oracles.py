@@ -987,13 +987,22 @@ FROM cohort WHERE n <= 40 GROUP BY stay_id""",
 oracle(
     "padded_batches",
     """
-SELECT batch, stay_id, seqlen, max(seqlen) OVER (PARTITION BY batch) AS padded_len,
+SELECT batch, stay_id, seqlen, sum_rates, sum_ends, max(seqlen) OVER (PARTITION BY batch) AS padded_len,
        max(seqlen) OVER (PARTITION BY batch) - seqlen AS pad_keys,
        CAST(masked + max(seqlen) OVER (PARTITION BY batch) - seqlen AS BIGINT) AS masked, CAST(5 AS BIGINT) AS width
-FROM (SELECT stay_id, count(*) AS seqlen, sum(msk) AS masked, (row_number() OVER (ORDER BY stay_id) - 1) // 32 AS batch
+FROM (SELECT stay_id, count(*) AS seqlen, sum(msk) AS masked, """ + f"""{r('coalesce(sum(input_hrs), 0)', 'sum_rates', digits=4)},
+             {r('coalesce(sum(timer_next_d), 0)', 'sum_ends', digits=4)}, (row_number() OVER (ORDER BY stay_id) - 1) // 32 AS batch
       FROM cohort GROUP BY stay_id)""",
     "cohort",
 )
+oracle(
+    "sequences_of_large_keys",
+    f"""
+SELECT stay_id, seg, count(*) AS seqlen, any_value(steps) AS steps, {i('arg_min(rn, n) + 3000000000', 'first_key')},
+       {r('coalesce(sum(timer_next_d), 0)', 'sum_ends', digits=4)}
+FROM (SELECT *, (n - 1) // 7 AS seg, count(*) OVER (PARTITION BY stay_id) AS steps FROM cohort) GROUP BY stay_id, seg""",
+    "cohort",
+)
 oracle("unpadded_targets", f"SELECT {i('rn', 'key')}, {r('glc_next', 'y')} FROM cohort WHERE msk = 0", "cohort")
 step("steps", "SELECT *, rn / 1000 AS t0, rn / 1000 + 1 AS t1 FROM forecasts", "forecasts")
 oracle(
@@ -1079,8 +1088,9 @@ FROM forecasts GROUP BY model, fold""",
 oracle(
     "metrics_from_files",
     f"""
-SELECT 'version_' || (fold + 1) AS run_folder, model, {r('crps_mean', digits=5)}, {r('rmse', digits=5)}
-FROM by_fold WHERE model = 'even'""",
+SELECT 'version_' || (fold + 1 + CASE model WHEN 'odd' THEN 10 ELSE 0 END) AS run_folder, model,
+       {r('crps_mean', digits=5)}, {r('rmse', digits=5)}
+FROM by_fold WHERE NOT (model = 'odd' AND fold = 2)""",
     "by_fold",
 )
 oracle(
@@ -1088,9 +1098,8 @@ oracle(
     f"""
 SELECT CAST(value AS BIGINT) AS value, model, {r('rmse', digits=5)}, ig_mean FROM (
     SELECT 1 AS value, model, rmse, {r('ig_mean', digits=5)} FROM by_model
-    UNION ALL SELECT 2, model, rmse, NULL FROM of_stratum)""",
+    UNION ALL SELECT 2, model, rmse, NULL FROM by_model)""",
     "by_model",
-    "of_stratum",
 )
 ORACLES["linear_price_model"] = f"""
 WITH x AS (SELECT *, l_extendedprice / 10000 AS y, l_quantity AS q FROM lineitem),

@@ -71,7 +71,7 @@ def test_folds_cover_every_scored_row_once(cohort, tmp_path):
 def test_tree_folds_and_point_task(cohort):
     predictions, scores = run_folds(cohort, ROLES, "CatboostModel", 2, "conditional_expectation", rounds=2)
     assert scores.columns == ["model", "fold", "rmse"] and scores.count() == 2
-    assert {r.model for r in predictions.select("model").distinct().collect()} == {"Catboost"}
+    assert {r.model for r in predictions.select("model").distinct().collect()} == {"BoostedTrees"}
 
 
 def test_grid_over_one_split(cohort):

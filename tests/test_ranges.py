@@ -105,3 +105,15 @@ def test_sums_cancel_exactly(spark):
     p, i = frames(spark, [(1, 299)], many)
     out = in_force(p, ["k"], "timer", [Layer(i, averages={"rate": "v"})]).first()
     assert out.rate == 0.1 + 299 * 1e-7
+
+
+def test_pairs_do_not_depend_on_the_zone_of_the_session(spark):
+    points = spark.sql("select 1 as k, timestamp_ntz'2024-03-10 02:45:00' as timer")
+    rows = spark.sql("select 1 as k, timestamp_ntz'2024-03-10 02:30:00' as starttime, timestamp_ntz'2024-03-10 03:00:00' as endtime, 7 as v")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert stab_pairs(points, rows, ["k"]).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -66,3 +66,23 @@ def test_cohort_files_hold_every_row_once(spark, tmp_path):
     main, held = (tables.read_csv(spark, str(tmp_path / n)) for n in ("main", "val"))
     assert main.columns[0] == "rn" and sorted(r.rn for r in main.union(held).collect()) == list(range(30))
     assert held.select("stay_id").distinct().count() == 1 and "held_out" not in main.columns
+
+
+def test_files_are_read_by_header_and_missing_files_give_no_rows(spark, tmp_path):
+    for run, head, row in ((1, "rn,mu,sigma,model", "1,0.5,9.0,m"), (2, "rn,sigma,mu,model", "2,9.0,0.5,m"), (3, "model,rn,mu", "m,3,0.5")):
+        folder = tmp_path / "runs" / f"version_{run}"
+        folder.mkdir(parents=True)
+        (folder / "predictions_0.csv").write_text(f"{head}\n{row}\n")
+    out = runs.read_predictions(spark, str(tmp_path / "runs"))
+    assert sorted((r.rn, r.mu, r.sigma, r.model, r.run) for r in out.collect()) == [(1, 0.5, 9.0, "m", 1), (2, 0.5, 9.0, "m", 2), (3, 0.5, None, "m", 3)]
+    assert runs.read_metrics(spark, str(tmp_path / "runs")).count() == 0
+    assert runs.read_run_metrics(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pinned_tables_can_be_released(spark):
+    from chronoweave import session
+
+    before, session._pinned[:] = list(session._pinned), []
+    session.pin(spark.range(3))
+    assert session.release(spark) == 1 and session._pinned == []
+    session._pinned[:] = before
