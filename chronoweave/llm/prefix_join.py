@@ -85,8 +85,7 @@ def links(sets: DataFrame, percent: int = 75, rounds: int = 3) -> DataFrame:
         .unionByName(ab.join(others, F.col("b") == others["group"]).select(F.col("ra").alias("u"), F.col("m").alias("v")))
         .unionByName(more.select(F.col("rep").alias("u"), F.col("class").alias("v")))
     )
-    found = pin(_verified(first, sets, percent))
-    root = components(found)
+    root = components(_verified(first, sets, percent))
 
     # Later rounds: lists by class, as far as their classes are in several components.
     entry = entries.select("token", "item", "place")
@@ -104,8 +103,8 @@ def links(sets: DataFrame, percent: int = 75, rounds: int = 3) -> DataFrame:
         else:  # whoever isn't in the list's largest component, with all members of other components
             leader = lists.where("root != main")
         pairs = _pairs_of(lists, leader, percent).where(F.col("a.root") != F.col("b.root")).select(F.col("a.item").alias("u"), F.col("b.item").alias("v"))
-        found = pin(found.unionByName(_verified(pairs, sets, percent)))
-        root = components(found)
+        known = root.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))  # stars already: few rounds more
+        root = components(known.unionByName(_verified(pairs, sets, percent)))
     return root
 
 
