@@ -70,11 +70,6 @@ class Splits:
         hot = F.broadcast(self.hot.select(*[F.col(k).alias(n) for k, n in zip(self.keys, names)]))
         return df.join(hot, same_keys([df[k] for k in self.keys], [F.col(n) for n in names]), "left_semi")
 
-    def without_hot(self, df: DataFrame) -> DataFrame:
-        names = [f"_hot_{k}" for k in self.keys]
-        hot = F.broadcast(self.hot.select(*[F.col(k).alias(n) for k, n in zip(self.keys, names)]))
-        return df.join(hot, same_keys([df[k] for k in self.keys], [F.col(n) for n in names]), "left_anti")
-
     def widen(self, df: DataFrame, order: list[Column], reach: int) -> DataFrame:
         """Tag `df` and add, to every part, the `reach` rows just before and just after it (`_halo` = true)."""
         tagged = df if PART in df.columns else self.tag(df)
