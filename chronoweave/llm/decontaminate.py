@@ -3,7 +3,8 @@
 Impacts are divided by the score that an item has with itself, so one threshold fits items of all lengths. Overlapping windows
 of every text are the queries. A window whose best impacts sum up to less than the threshold can't reach it and is skipped for
 all items at once; for the others, postings are walked with WAND pivots and block maxima. What is found is verified by the
-overlap of word triples with the item's question and with its answer.
+overlap of word triples with the item's question and with its answer; an answer so short that one changed word spoils too many of
+its triples is held word by word against the stretches around the question.
 """
 
 from __future__ import annotations
@@ -63,12 +64,13 @@ class Index:
     ids: list[int]
     questions: list[set]
     answers: list[set]
+    said: list[list[bytes]]
     window: int
 
     @classmethod
     def build(cls, rows: list[tuple[int, bytes]]) -> Index:
         """Items without words are left out; equal item ids stay separate items."""
-        held = [(i, words_of(t), *map(triples, parts(t))) for i, t in sorted(rows)]
+        held = [(i, words_of(t), *map(triples, (p := parts(t))), p[1]) for i, t in sorted(rows)]
         held = [x for x in held if x[1]]
         n, mean = len(held), sum(len(x[1]) for x in held) / max(1, len(held))
         holders = Counter(w for x in held for w in set(x[1]))
@@ -77,7 +79,7 @@ class Index:
         terms = {w: k for k, w in enumerate(sorted(holders))}
         postings: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in terms]
         block_max = np.zeros((len(terms) + 1, -(-n // BLOCK)), np.float32)
-        for at, (_, words, _, _) in enumerate(held):
+        for at, (_, words, *_) in enumerate(held):
             tf = Counter(words)
             raw = {w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for w, f in tf.items()}
             own = sum(raw.values())
@@ -87,7 +89,7 @@ class Index:
                 impacts.append(x / own)
                 block_max[terms[w], at // BLOCK] = max(block_max[terms[w], at // BLOCK], np.nextafter(np.float32(x / own), np.float32(1)))
         longest = max((len(x[1]) for x in held), default=1)
-        return cls(terms, postings, block_max, block_max.max(1, initial=0), [x[0] for x in held], [x[2] for x in held], [x[3] for x in held], max(32, longest))
+        return cls(terms, postings, block_max, block_max.max(1, initial=0), [x[0] for x in held], [x[2] for x in held], [x[3] for x in held], [x[4] for x in held], max(32, longest))
 
     def search(self, query: list[int], blocks: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items of `blocks` whose score reaches `threshold`, by WAND under the block's maxima. `query`: distinct terms."""
@@ -164,9 +166,40 @@ def verified(words: list[bytes], index: Index, item: int, question: float, answe
         return sum((x in own) if size == 3 else all(w in flat for w in x) for x in part) / len(part)
 
     q, a = share(asked), share(said)
+    m = len(index.said[item])
+    if q >= question and a < answer and m - 5 < answer * (m - 2):  # a word in the middle is in three of m - 2 triples
+        a = max(a, aligned(words, asked, index.said[item]))
     return (q, a) if q >= question and a >= answer else None
 
 
+def aligned(words: list[bytes], asked: set, said: list[bytes]) -> float:
+    """Share of the answer's words that a stretch of as many words holds in their order; the question's own words don't count."""
+    of_question = [False] * len(words)
+    size = len(next(iter(asked), ()))
+    for i in range(len(words) - size + 1):
+        if size and tuple(words[i : i + size]) in asked:
+            of_question[i : i + size] = [True] * size
+    free = [b"" if taken else w for w, taken in zip(words, of_question)]
+    m, best, wanted = len(said), 0, set(said)
+    held = [w in wanted for w in free]
+    for i in range(max(1, len(free) - m + 1)):
+        if sum(held[i : i + m]) <= best:
+            continue
+        row = [0] * (m + 1)
+        for w in free[i : i + m]:
+            row = _next_row(row, w, said)
+        best = max(best, row[-1])
+    return best / m if m else 0.0
+
+
+def _next_row(row: list[int], word: bytes, said: list[bytes]) -> list[int]:
+    """One step of the longest common subsequence."""
+    out = [0]
+    for k, w in enumerate(said):
+        out.append(row[k] + 1 if w == word else max(row[k + 1], out[k]))
+    return out
+
+
 def index_of(items: DataFrame) -> Index:
     """The benchmark is a fixed set of test items; its size is checked, and a larger one must be searched in parts."""
     narrow = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))

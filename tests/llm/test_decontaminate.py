@@ -72,3 +72,25 @@ def test_odd_rows(spark, docs, request, items):
     got = {(r.doc_id, i) for r in dc.leaks(docs, benchmark).collect() for i in r["items"]}
     whole = {(d, r.item_id) for d, t in pairs(docs) for r in benchmark.collect() if t and r.text in t}
     assert whole <= got
+
+
+def test_an_answer_with_one_changed_word_is_found(spark, rnd):
+    items = {r.text: r.item_id for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()}
+    for m in range(3, 12):
+        items[prose(rnd, 30, [f"q{i}" for i in range(400)]) + "? " + prose(rnd, m, [f"a{i}" for i in range(400)]) + "."] = 100_000 + m
+    rows, expected = [], {}
+    for text, item in items.items():
+        question, answer = dc.parts(text.encode())
+        cut = len(text.split()) - len(answer)
+        for k in range(len(answer) if len(answer) >= 3 else 0):
+            words = text.split()
+            words[cut + k] = "changed"
+            expected[len(rows)] = item
+            rows.append((len(rows), prose(rnd, 40) + " " + " ".join(words) + " " + prose(rnd, 40)))
+        expected[len(rows)] = None  # the question alone
+        rows.append((len(rows), prose(rnd, 40) + " " + " ".join(text.split()[:cut]) + " " + prose(rnd, 40)))
+    table = spark.createDataFrame([(i, t) for t, i in items.items()], "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in dc.leaks(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
+    missed = [d for d, i in expected.items() if i is not None and i not in got[d]]
+    extra = [d for d, i in expected.items() if i is None and got[d]]
+    assert (missed, extra) == ([], []), (len(missed), len(extra), len(expected))
