@@ -1,9 +1,10 @@
 """Operator 8, token-ID output: training-order materialisation.
 
-Texts become streams of byte ids, each text closed by the id 255, which no UTF-8 text contains. A stream is cut into sequences
+Token ids of texts become streams of uint16, or uint32 where an id needs it, each text closed by the greatest number, which is no id.
+Without a tokenizer a text's bytes are its ids (uint8), closed by 255, which no UTF-8 text contains. A stream is cut into sequences
 of equal length, the sequences are numbered over the whole table, and a keyed Feistel permutation with cycle-walking gives each
 number its global slot without any sort or shuffle of numbers. Slots are range-partitioned into shard files in which sequence i
-lies at byte i * length, so a reader seeks to any slot and goes on from there.
+lies at byte i * stride, so a reader seeks to any slot and goes on from there.
 """
 
 from __future__ import annotations
@@ -68,15 +69,49 @@ class Layout:
     length: int
     per_shard: int
     key: int
+    dtype: str = "<u1"
+
+    @property
+    def stride(self) -> int:
+        return self.length * np.dtype(self.dtype).itemsize
 
 
 def _sequences(held: int, length: int) -> int:
     return -(-held // length)
 
 
-def materialise(docs: DataFrame, length: int = 1024, per_shard: int = 8192, key: int = 42, folder: str | None = None) -> Layout:
+def groups_of_ids(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[None, list[np.ndarray]]]:
+    """The id lists of a column in pieces of about `most` bytes."""
+    lists, held = [], 0
+    for batch in batches:
+        column = batch.column(0)
+        values = column.flatten()
+        if values.null_count:
+            raise ValueError("a NULL among the ids of a text")
+        ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        for own in np.split(values.to_numpy(), ends[:-1]) if len(ends) else []:
+            lists.append(own)
+            held += own.nbytes + 64
+            if held >= most:
+                yield None, lists
+                lists, held = [], 0
+    if lists:
+        yield None, lists
+
+
+def _stream(texts: list, dtype: str) -> np.ndarray:
+    if dtype == "<u1":
+        return np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
+    end = np.array([np.iinfo(dtype).max], dtype)
+    return np.concatenate([x for t in texts for x in (t.astype(dtype), end)])
+
+
+def materialise(docs: DataFrame, length: int = 1024, per_shard: int = 8192, key: int = 42, folder: str | None = None, ids: str | None = None) -> Layout:
     """Write every text of `docs` (a stored table) into shards under `folder`; a task takes one shard at a time.
 
+    `ids` names a column of token ids (array<int>), as bpe.encode makes; without it the bytes of `text` are written. Negative ids
+    and NULLs among the ids of a text are refused.
+
     Numbers come from two passes over the same partitions: the first counts the sequences of each piece of about 8 MB, the
     second looks its pieces up by partition and place. Should the second pass meet other rows than the first (an input that isn't
     stored can differ between runs), it fails and says so. What is sent around is one count per piece: input / 8 MB rows.
@@ -86,25 +121,35 @@ def materialise(docs: DataFrame, length: int = 1024, per_shard: int = 8192, key:
     folder = folder or f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(TaskContext.get().partitionId(), i, _print(t), _sequences(sum(map(len, t)) + len(t), length)) for i, (_, t) in enumerate(groups_of_bytes(batches, PIECE))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 4)], names=["part", "piece", "print", "n"])
-
-    source = doc_key(docs)
-    pieces = sorted(tuple(r) for r in source.mapInArrow(count, "part long, piece long, print long, n long").collect())
-    at, base = 0, {}
-    for part, piece, seen, n in pieces:
+        rows = []
+        for i, (_, t) in enumerate(groups(batches, PIECE)):
+            least, most = (min((int(x.min()) for x in t if len(x)), default=0), max((int(x.max()) for x in t if len(x)), default=0)) if ids else (0, 0)
+            if least < 0:
+                raise ValueError(f"{least} is no id")
+            rows.append((TaskContext.get().partitionId(), i, _print(t), _sequences(sum(map(len, t)) + len(t), length), most))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 5)], names=["part", "piece", "print", "n", "most"])
+
+    source, groups = (docs.select(F.col(ids).cast("array<int>").alias("ids")), groups_of_ids) if ids else (doc_key(docs), groups_of_bytes)
+    pieces = sorted(tuple(r) for r in source.mapInArrow(count, "part long, piece long, print long, n long, most long").collect())
+    at, base, greatest = 0, {}, 0
+    for part, piece, seen, n, most in pieces:
         base[part, piece] = (at, seen)
-        at += n
+        at, greatest = at + n, max(greatest, most)
+    dtype = "<u1" if not ids else "<u2" if greatest < 2**16 - 1 else "<u4"
+    layout = Layout(folder, at, length, per_shard, key, dtype)
+    stride = layout.stride
     bases, order = spark.sparkContext.broadcast(base), Permutation(at, key)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, (_, texts) in enumerate(groups_of_bytes(batches, PIECE)):
+        for i, (_, texts) in enumerate(groups(batches, PIECE)):
             first, seen = bases.value.get((TaskContext.get().partitionId(), i), (0, None))
             if seen != _print(texts):
                 raise ValueError("the input changed between two passes; store it as a table first")
-            stream = b"\xff".join(texts) + b"\xff"
+            stream = _stream(texts, dtype)
             n = _sequences(len(stream), length)
-            ids = np.frombuffer(stream.ljust(n * length, b"\xff"), np.uint8).reshape(n, length)
+            cut = np.full(n * length, np.iinfo(dtype).max, dtype)
+            cut[: len(stream)] = stream
+            cut = cut.view(np.uint8).reshape(n, stride)
             slots = order.slot(np.arange(first, first + n))
             by = np.argsort(slots, kind="stable")
             shards = slots[by] // per_shard
@@ -112,27 +157,27 @@ def materialise(docs: DataFrame, length: int = 1024, per_shard: int = 8192, key:
             names, data = [], []
             for a, b in zip(edges, edges[1:]):
                 names.append(int(shards[a]))
-                data.append(_pack(slots[by[a:b]] % per_shard, ids[by[a:b]]))
+                data.append(_pack(slots[by[a:b]] % per_shard, cut[by[a:b]]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(data, pa.binary())], names=["shard", "data"])
 
     def gather(group: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
         held = min(per_shard, order.n - group[0] * per_shard)
-        out = np.empty((held, length), np.uint8)
+        out = np.empty((held, stride), np.uint8)
         for blob in blobs["data"]:
-            places, ids = _unpack(blob, length)
-            out[places] = ids
+            places, held_ids = _unpack(blob, stride)
+            out[places] = held_ids
         return pd.DataFrame({"shard": [group[0]], "content": [out.tobytes()]})
 
     blobs = source.mapInArrow(scatter, "shard long, data binary")
     files = blobs.groupBy("shard").applyInPandas(gather, "shard long, content binary")
     # The text writer puts the bytes into the file as they are and one newline after the last sequence.
     files.select("shard", F.col("content").cast("string").alias("value")).write.partitionBy("shard").option("compression", "none").mode("overwrite").text(folder)
-    return Layout(folder, at, length, per_shard, key)
+    return layout
 
 
-def _print(texts: list[bytes]) -> int:
+def _print(texts: list) -> int:
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)).tobytes()
-    return xxhash.xxh3_64_intdigest(lengths + b"".join(t[:16] for t in texts)) >> 1
+    return xxhash.xxh3_64_intdigest(lengths + b"".join(bytes(t[:16]) for t in texts)) >> 1
 
 
 def _pack(places: np.ndarray, ids: np.ndarray) -> bytes:
@@ -143,26 +188,26 @@ def _pack(places: np.ndarray, ids: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def _unpack(blob: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blob: bytes, stride: int) -> tuple[np.ndarray, np.ndarray]:
     batch = pa.ipc.open_stream(blob).read_next_batch()
-    ids = np.frombuffer(batch.column(1).buffers()[1], np.uint8)[: batch.num_rows * length].reshape(-1, length)
+    ids = np.frombuffer(batch.column(1).buffers()[1], np.uint8)[: batch.num_rows * stride].reshape(-1, stride)
     return batch.column(0).to_numpy(), ids
 
 
 def read(spark, layout: Layout, start: int = 0) -> DataFrame:
-    """slot, ids (binary, one byte per id) from slot `start` on; only the shards that hold them are opened."""
+    """slot, ids (binary, ids of the layout's dtype one after another) from slot `start` on; only the shards that hold them are opened."""
     if layout.sequences <= start:
         return spark.createDataFrame([], "slot long, shard long, ids binary")
-    length, per_shard = layout.length, layout.per_shard
+    stride, per_shard = layout.stride, layout.per_shard
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 view = content.as_buffer()
-                n = view.size // length
+                n = view.size // stride
                 skip = max(0, start - shard * per_shard)
                 if n > skip:
-                    ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), n, [None, view]).slice(skip).cast(pa.binary())
+                    ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride), n, [None, view]).slice(skip).cast(pa.binary())
                     slots = np.arange(shard * per_shard + skip, shard * per_shard + n)
                     yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.full(n - skip, shard)), ids], names=["slot", "shard", "ids"])
 

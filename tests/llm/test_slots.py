@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from chronoweave.llm import slots
+from chronoweave.llm import bpe, queries, slots
 
 from .conftest import pairs
 
@@ -49,3 +49,26 @@ def test_files_have_a_fixed_stride(spark, some_docs):
         assert f.length == held * 128 + 1
         for i in (0, held - 1):
             assert bytes(f.content[i * 128 : (i + 1) * 128]) == whole[f.shard * 64 + i]
+
+
+@pytest.mark.parametrize("most,dtype", [(50_000, "<u2"), (65_534, "<u2"), (65_535, "<u4"), (2**31 - 1, "<u4")])
+def test_token_ids_are_written_as_they_are(spark, tmp_path, most, dtype):
+    lists = [[], None, [0, most], [255, 10, 13], list(range(0, 3000, 7)), [most] * 64, [10] * 63]
+    stored = str(tmp_path / "ids")
+    spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "doc_id long, ids array<int>").write.parquet(stored)
+    layout = slots.materialise(spark.read.parquet(stored), length=64, per_shard=3, key=7, ids="ids")
+    rows = {r.slot: np.frombuffer(bytes(r.ids), layout.dtype) for r in slots.read(spark, layout).collect()}
+    assert layout.dtype == dtype and sorted(rows) == list(range(layout.sequences)) and {len(x) for x in rows.values()} == {64}
+    order = slots.Permutation(layout.sequences, 7).slot(np.arange(layout.sequences)).tolist()
+    texts, end = [[]], np.iinfo(dtype).max
+    for i in np.concatenate([rows[s] for s in order]).tolist():
+        texts.append([]) if i == end else texts[-1].append(i)
+    assert sorted(x for x in texts if x) == sorted(x for x in lists if x)
+
+
+def test_the_query_writes_the_tokenizers_ids(spark):
+    sf_dir, length = "/root/testdata/sf0.001", 1024
+    rows = queries.op8_training_order(spark, sf_dir).collect()
+    encoded = bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), queries.tokenizer_path())
+    n_ids = sum(len(r.ids) + 1 for r in encoded.collect())
+    assert {r.n_ids for r in rows} == {length} and n_ids <= length * len(rows) < n_ids + length * 16
