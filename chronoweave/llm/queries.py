@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from chronoweave.session import pin
 
-from . import bpe, compact_windows, decontaminate, line_dedup, prefix_join, repetition, run_index, secret_scan, slots, splitters
+from . import (
+    bpe, compact_windows, decontaminate, fill_middle, line_dedup, packing, prefix_join, repetition, run_index, secret_scan, slots, splitters, whitening,
+)
 from .common import table
 
 TOKENIZER = "CHRONOWEAVE_TOKENIZER"
@@ -74,11 +76,24 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.shard(table(spark, sf_dir, "documents"), 8)
 
 
+def op11_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return packed.placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.transform(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_prefix_join, op3_run_index, op4_decontamination, op5_repetition_rules, op6_secret_models, op7_compact_windows, op8_training_order,
-        op9_bpe_ranks, op10_sampled_splitters,
+        op9_bpe_ranks, op10_sampled_splitters, op11_certified_packing, op12_embedding_whitening, op13_fill_middle,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_fill_middle": fill_middle.SQL}
