@@ -10,6 +10,7 @@ all bins that aren't full; where that saves nothing either, packing ends.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 from collections.abc import Iterator
@@ -94,28 +95,44 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return where, offsets
 
 
-def _encoder(content: str):
-    """text -> ids of a byte-level BPE vocabulary in the JSON form of the tokenizers library."""
+def vocabulary(content: str) -> tuple:
+    """A byte-level BPE vocabulary in the JSON form of the tokenizers library, as little as a worker needs to hold of it.
+
+    The special tokens, the ids, the tokens' bytes end to end, and their lengths; the file's content instead where ids don't
+    follow the order of merging, which only that library reads.
+    """
     spec = json.loads(content)
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     vocab, names = spec["model"]["vocab"], byte_names()
     pairs = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
     made = [vocab[a + b] for a, b in pairs]
-    if made != sorted(made):  # ids don't follow the order of merging: the slower library reads any such file
+    top = max([*vocab.values(), *special.values()])
+    if made != sorted(made):
+        return top, content
+    tokens = [(i, bytes(names[c] for c in name)) for name, i in vocab.items() if name not in special]
+    ids, sizes = np.array([i for i, _ in tokens], np.uint32), np.array([len(t) for _, t in tokens], np.uint16)
+    return top, special, ids, b"".join(t for _, t in tokens), sizes
+
+
+def encoder(table: tuple):
+    """text -> ids, as the tokenizers library gives them."""
+    if len(table) == 2:
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_str(content)
+        library = Tokenizer.from_str(table[1])
         library.no_truncation()
         library.no_padding()
         return lambda text: np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
     import tiktoken
 
-    ranks = {bytes(names[c] for c in name): i for name, i in vocab.items() if name not in special}
+    _, special, ids, data, sizes = table
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    ranks = {data[a:b]: i for a, b, i in zip([0, *ends], ends, ids.tolist())}
     fast = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return lambda text: fast.encode_to_numpy(text, allowed_special="all")
 
 
-_loaded: dict[int, object] = {}
+_loaded: dict[str, object] = {}
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -126,16 +143,16 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
     rows and NULL doc_ids are rows like others; no rows give no pieces; other columns aren't read.
     """
     with open(path, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary has a fixed size, under 2 MB here
+        content = f.read()
+    name, table = hashlib.sha256(content.encode()).hexdigest(), vocabulary(content)
+    width = "<u2" if max(table[0], end_id) < 1 << 16 else "<u4"
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # a vocabulary has a fixed size, under 1 MB here
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content = shared.value
-        if hash(content) not in _loaded:
+        if name not in _loaded:  # one per worker process, for its next tasks too
             _loaded.clear()
-            spec = json.loads(content)
-            top = max(spec["model"]["vocab"].values())
-            _loaded[hash(content)] = _encoder(content), "<u2" if max(top, end_id) < 1 << 16 else "<u4"
-        encode, width = _loaded[hash(content)]
+            _loaded[name] = encoder(shared.value)
+        encode = _loaded[name]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, rows = batch.slice(at, 512), []
