@@ -10,13 +10,10 @@ from pyspark.sql import types as T
 def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since 1970 of a time column. A column without a zone counts as it reads, whatever the session's zone:
     an hour that the zone skips is as long as any other."""
-    c = F.col(name)
     if isinstance(df.schema[name].dataType, (T.TimestampNTZType, T.DateType)):
-        c = c.cast("timestamp_ntz")
-        days = F.date_diff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-        seconds = F.hour(c) * 3600 + F.minute(c) * 60
-        return (days * 86400 + seconds) * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
-    return F.unix_micros(c.cast("timestamp"))
+        quoted = name.replace("`", "``")
+        return F.expr(f"(cast(`{quoted}` as timestamp_ntz) - timestamp_ntz'1970-01-01 00:00:00') div interval '0.000001' second")
+    return F.unix_micros(F.col(name).cast("timestamp"))
 
 
 def minutes_between(start: Column | str, end: Column | str) -> Column:

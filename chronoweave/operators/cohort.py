@@ -10,6 +10,7 @@ from chronoweave.functions.clock import hours_between
 from chronoweave.operators.ordered import LastSeen, NextSeen, Running, Whole, scan, with_neighbours
 from chronoweave.operators.quantiles import column_medians, exact_median
 from chronoweave.operators.splits import Splits, splits_for
+from chronoweave.session import pin_measured
 
 TIME_ORDER = ("timer",)
 
@@ -246,8 +247,8 @@ def histogram(df: DataFrame, value: str | Column, bins: int, where: Column | Non
     """Counts in `bins` equal-width bins from the smallest to the largest value; the last bin is closed."""
     value = F.col(value) if isinstance(value, str) else value
     data = (df if where is None else df.filter(where)).select(value.cast("double").alias("_x"))
-    data = data.filter(F.col("_x").isNotNull())
-    low, high = data.agg(F.min("_x"), F.max("_x")).first()
+    data, seen = pin_measured(data.filter(F.col("_x").isNotNull()), low=F.min("_x"), high=F.max("_x"))
+    low, high = seen["low"], seen["high"]
     if low is not None and low == high:  # a single repeated value gets a range of one around it
         low, high = low - 0.5, high + 0.5
     lo, hi = F.lit(low).cast("double"), F.lit(high).cast("double")

@@ -101,7 +101,7 @@ def scan(
     """
     splits = splits_for(df, keys, order[0], splits)
     order = as_columns(order)
-    base = splits.place(df)
+    base = splits.place(df, order[1:])
     whole = Window.partitionBy(*keys, *([PART] if splits.any else []))
     # "from here to the end" is written as "from the end to here": Spark's frame that starts at the current
     # row works through the rest of the partition again for every row
@@ -139,7 +139,7 @@ def scan(
     names = [f"_k_{k}" for k in keys]
     # stored: the totals are a pass over the input, which the rows below are another pass over
     carried = (
-        pin(splits.only_hot(df if PART in df.columns else splits.tag(df)).groupBy(*keys, PART).agg(*totals))
+        pin(splits.only_hot(base).groupBy(*keys, PART).agg(*totals))
         .withColumns(across)
         .select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(PART).alias("_k_part"), *across)
     )

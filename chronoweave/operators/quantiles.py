@@ -1,145 +1,111 @@
 """Exact medians per group that stay bounded when a group is over-full.
 
-Spark's exact percentile keeps every distinct value of a group in one task. Groups above the row limit
-are instead narrowed: an approximate percentile gives a bracket, exact counts confirm that the wanted
-ranks lie in it, and the bracket shrinks until few distinct values are left. Each round is one aggregate.
+Spark's exact percentile keeps every distinct value of a group in one task. Groups above the row limit are selected by
+radix instead: a double's bits, put into an order-preserving long, are told 16 at a time. Each pass counts the next 16 bits
+of the values that share the bits known so far, for all over-full groups together, and the wanted rank picks one of the at
+most 65,536 counts. Four passes give all 64 bits, whatever the number of rows, groups and ties.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from chronoweave.functions.doubles import from_ordered_bits, ordered_bits
 from chronoweave.operators.splits import same_keys
-from chronoweave.session import rows_per_split
+from chronoweave.session import pin, pin_measured, rows_per_split
 
-ACCURACY = 10000
+DIGIT = 16
+PASSES = 64 // DIGIT
 
 
-def big_groups(df: DataFrame, by: list[str], value: str, rows: int) -> list[dict]:
-    """Groups with more than `rows` values; there are at most (all rows / rows) of them."""
-    return [
-        r.asDict()
-        for r in df.groupBy(*by)
-        .agg(
-            F.count(value).alias("_n"),
-            F.min(value).cast("double").alias("_lo"),
-            F.max(value).cast("double").alias("_hi"),
+def _renamed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    names = [f"_g_{k}" for k in by]
+    return df.withColumnsRenamed(dict(zip(by, names))), names
+
+
+def _with_groups(df: DataFrame, groups: DataFrame, by: list[str], how: str = "inner", test: Column | None = None) -> DataFrame:
+    """Join the rows of `groups`, of which there are at most two per over-full group: 2 * all rows / the row limit."""
+    small, names = _renamed(groups, by)
+    match = same_keys([df[k] for k in by], [F.col(n) for n in names]) if by else None
+    if test is not None:
+        match = test if match is None else match & test
+    if match is None:
+        match = F.lit(True)
+    return df.join(F.broadcast(small), match, how).drop(*names)
+
+
+def _selected(stored: DataFrame, by: list[str], sizes: DataFrame, name: str) -> DataFrame:
+    """The medians of the groups in `sizes` (their keys and `_n`)."""
+    values = stored.where(F.col("_v").isNotNull()).withColumn("_bits", ordered_bits(F.col("_v"))).select(*by, "_bits")
+    sides = F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
+    state = sizes.select(*by, F.posexplode(sides).alias("_side", "_rank")).withColumn("_prefix", F.lit(0).cast("long"))
+    for done in range(PASSES):
+        shift = 64 - DIGIT * (done + 1)
+        known = state.select(*by, F.col("_prefix").alias("_known")).distinct()
+        digit = F.shiftright("_bits", shift)
+        if done:
+            digit = digit.bitwiseAND(F.lit((1 << DIGIT) - 1))
+        # the first pass tells the sign, too, and has no bits to compare
+        test = F.shiftright("_bits", shift + DIGIT) == F.col("_known") if done else None
+        counts = (
+            _with_groups(values, known, by, test=test)
+            .groupBy(*by, "_known", digit.alias("_digit"))
+            .agg(F.count(F.lit(1)).alias("_c"))
+        )
+        along = Window.partitionBy(*by, "_known").orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.withColumn("_upto", F.sum("_c").over(along))
+        here = F.col("_known") == F.col("_prefix")
+        here &= (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))
+        state = pin(
+            _with_groups(ranked, state, by, test=here).select(
+                *by, "_side", (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank"),
+                (F.shiftleft("_prefix", DIGIT) + F.col("_digit") if done else F.col("_digit")).cast("long").alias("_prefix"),
+            )
         )
-        .filter(F.col("_n") > rows)
-        .collect()
-    ]
+    value = from_ordered_bits(F.col("_prefix"))
+    low, high = (F.max(F.when(F.col("_side") == side, value)) for side in (0, 1))
+    return state.groupBy(*by).agg((low * 0.5 + high * 0.5).alias(name))
 
 
-def exact_median(
-    df: DataFrame, by: list[str], value: str | Column, name: str = "median", rows: int | None = None
-) -> DataFrame:
-    """One row per group: its keys and the exact median of the non-NULL values."""
-    spark = df.sparkSession
-    rows = rows or rows_per_split(spark)
+def stored_median(stored: DataFrame, by: list[str], value: str | Column, n: int, name: str = "median", rows: int | None = None) -> DataFrame:
+    """`exact_median` of a stored table of `n` rows."""
+    rows = rows or rows_per_split(stored.sparkSession)
     value = F.col(value) if isinstance(value, str) else value
-    slim = df.select(*by, value.cast("double").alias("_v"))
-    big = big_groups(slim, by, "_v", rows)
-    if not big:
+    slim = stored.select(*by, value.cast("double").alias("_v"))
+    if n <= rows:
         return slim.groupBy(*by).agg(F.median("_v").alias(name))
-
-    names = [f"_g_{k}" for k in by]
-    fields = [T.StructField(n, slim.schema[k].dataType) for n, k in zip(names, by)]
-    brackets = [T.StructField(c, T.DoubleType()) for c in ("_lo", "_hi", "_a", "_b")]
-
-    def bracketed(state: list[dict]) -> DataFrame:
-        rows_ = [(*[s[k] for k in by], s["_lo"], s["_hi"], s["_a"], s["_b"]) for s in state]
-        table = F.broadcast(spark.createDataFrame(rows_, T.StructType(fields + brackets)))
-        if not by:
-            s = state[0]
-            return slim.select(
-                "_v", *[F.lit(s[c]).alias(c) for c in ("_lo", "_hi", "_a", "_b")]
-            ).filter(F.col("_v").isNotNull())
-        return slim.join(table, same_keys([slim[k] for k in by], [F.col(n) for n in names])).filter(
-            F.col("_v").isNotNull()
-        )
-
-    def keyed(frame: DataFrame) -> dict[tuple, dict]:
-        return {tuple(r[k] for k in by): r.asDict() for r in frame.collect()}
-
-    state = []
-    for g in big:
-        first, last = (g["_n"] - 1) // 2, g["_n"] // 2
-        state.append({**g, "_below": 0, "_m": g["_n"], "_first": first, "_last": last, "_a": g["_lo"], "_b": g["_hi"]})
-    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    active = state
-    for _ in range(64):
-        active = [s for s in active if s["_m"] > rows and s["_lo"] < s["_hi"]]
-        if not active:
-            break
-        # a bracket a little wider than the sketch's error on both sides of the wanted ranks
-        slack = 4.0 / ACCURACY
-        levels = sorted(
-            {
-                min(max((s[r] - s["_below"]) / s["_m"] + sign * slack, 0.0), 1.0)
-                for s in active
-                for r, sign in (("_first", -1), ("_last", 1))
-            }
-        )
-        if len(levels) > 64:
-            levels = [i / 64 for i in range(65)]
-        guesses = keyed(
-            bracketed(active).filter(inside).groupBy(*by).agg(F.percentile_approx("_v", levels, ACCURACY).alias("_q"))
-        )
-        for s in active:
-            q = guesses[tuple(s[k] for k in by)]["_q"]
-            low = (s["_first"] - s["_below"]) / s["_m"] - slack
-            high = (s["_last"] - s["_below"]) / s["_m"] + slack
-            s["_a"] = max([v for v, l in zip(q, levels) if l <= low + 1e-12], default=s["_lo"])
-            s["_b"] = min([v for v, l in zip(q, levels) if l >= high - 1e-12], default=s["_hi"])
-        counts = keyed(
-            bracketed(active)
-            .groupBy(*by)
-            .agg(
-                F.count_if(F.col("_v") < F.col("_a")).alias("_below"),
-                F.count_if(F.col("_v").between(F.col("_a"), F.col("_b"))).alias("_m"),
-            )
-        )
-        moved = []
-        for s in active:
-            c = counts[tuple(s[k] for k in by)]
-            holds = c["_below"] <= s["_first"] and s["_last"] < c["_below"] + c["_m"]
-            if holds and c["_m"] < s["_m"]:
-                s.update(_lo=s["_a"], _hi=s["_b"], _below=c["_below"], _m=c["_m"])
-                moved.append(s)
-        active = moved
-
-    # few distinct values are left per group: rank them by cumulated counts
-    final = bracketed(state).filter(inside).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    final = final.withColumn("_upto", F.sum("_c").over(order))
-    ranks = [(*[s[k] for k in by], s["_first"] - s["_below"], s["_last"] - s["_below"]) for s in state]
-    rank_fields = [T.StructField("_f", T.LongType()), T.StructField("_l", T.LongType())]
-    if by:
-        wanted = F.broadcast(spark.createDataFrame(ranks, T.StructType(fields + rank_fields)))
-        final = final.join(wanted, same_keys([final[k] for k in by], [F.col(n) for n in names]))
-    else:
-        final = final.withColumns({"_f": F.lit(ranks[0][0]), "_l": F.lit(ranks[0][1])})
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c")), F.col("_v")))
-
-    heavy = final.groupBy(*by).agg(((at(F.col("_f")) + at(F.col("_l"))) / F.lit(2.0)).alias(name))
+    sizes = pin(slim.groupBy(*by).agg(F.count("_v").alias("_n")).filter(F.col("_n") > rows))
+    if sizes.isEmpty():
+        return slim.groupBy(*by).agg(F.median("_v").alias(name))
+    heavy = _selected(slim, by, sizes, name)
     if not by:
         return heavy
-    keys = F.broadcast(spark.createDataFrame([r[: len(by)] for r in ranks], T.StructType(fields)))
-    light = slim.join(keys, same_keys([slim[k] for k in by], [F.col(n) for n in names]), "left_anti")
+    light = _with_groups(slim, sizes.drop("_n"), by, "left_anti")
     return light.groupBy(*by).agg(F.median("_v").alias(name)).unionByName(heavy)
 
 
+def exact_median(
+    df: DataFrame, by: list[str], value: str | Column, name: str = "median", rows: int | None = None
+) -> DataFrame:
+    """One row per group: its keys and the exact median of the non-NULL values (as doubles; NaN is the largest).
+
+    The keys and values are stored once, which also counts them.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    slim, seen = pin_measured(df.select(*by, value.cast("double").alias("_v")), n=F.count(F.lit(1)))
+    return stored_median(slim, by, "_v", seen["n"], name, rows)
+
+
 def column_medians(df: DataFrame, columns, rows: int | None = None) -> dict[str, float | None]:
-    """The exact median of each column's non-NULL values, all columns in one pass when they are small enough."""
-    rows = rows or rows_per_split(df.sparkSession)
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    small = [c for c in columns if counts[c] <= rows]
-    found = df.agg(*[F.median(c).alias(c) for c in small]).first().asDict() if small else {}
-    for c in columns:
-        if c not in small:
-            found[c] = exact_median(df, [], c, rows=rows).first()[0]
-    return found
+    """The exact median of each column's non-NULL values, all columns together."""
+    columns = list(columns)
+    slim, seen = pin_measured(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), n=F.count(F.lit(1)))
+    if not columns:
+        return {}
+    if seen["n"] <= (rows or rows_per_split(df.sparkSession)):
+        return slim.agg(*[F.median(c).alias(c) for c in columns]).first().asDict()
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(columns)]))
+    long = slim.select(pairs.alias("_p")).select(F.col("_p.i").alias("_column"), F.col("_p.v").alias("_v"))
+    found = {r["_column"]: r["median"] for r in stored_median(long, ["_column"], "_v", seen["n"] * len(columns), rows=rows).collect()}
+    return {c: found.get(i) for i, c in enumerate(columns)}

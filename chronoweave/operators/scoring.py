@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.gaussian import normal_cdf, normal_log_density, normal_pdf, normal_quantile
 from chronoweave.functions.links import exp_link, identity, log_link, nan_to_null
-from chronoweave.operators.quantiles import big_groups, exact_median
+from chronoweave.operators.quantiles import stored_median
 from chronoweave.operators.splits import same_keys
-from chronoweave.session import rows_per_split
+from chronoweave.session import pin_measured, rows_per_split
 
 Link = Callable[[Column], Column]
 SIGMA_CAP = 2.0
@@ -57,8 +57,9 @@ def score(
     """Eight scores per group of rows with `mu`, `sigma` and `target` (both on the modelling scale).
 
     `ginv` takes values back to the original scale for the interval scores and the error. The median width is
-    exact.
+    exact. The forecasts are stored once, which also counts them.
     """
+    df, seen = pin_measured(df.select(*by, "mu", "sigma", "target"), n=F.count(F.lit(1)))
     y, mu, sigma = F.col("target"), F.col("mu"), F.col("sigma")
     low, high = _edges(ginv, alpha)
     z = F.try_divide(y - mu, sigma)
@@ -78,9 +79,9 @@ def score(
     )
     penalty = F.lit(2 / alpha)
     missed = F.when(at < F.col("_low"), F.col("_low") - at).when(at > F.col("_high"), at - F.col("_high")).otherwise(0.0)
-    # one heavy group would put all its widths into one task: its exact median is narrowed down apart
+    # one heavy group would put all its widths into one task: exact medians then have their own way
     rows = rows or rows_per_split(df.sparkSession)
-    apart = bool(big_groups(df.select(*by, mu.alias("_n_mu")), by, "_n_mu", rows))
+    apart = seen["n"] > rows
     scores = points.groupBy(*by).agg(
         F.avg("_crps").alias("crps_mean"),
         F.avg("_ig").alias("ig_mean"),
@@ -93,7 +94,7 @@ def score(
     )
     if not apart:
         return scores
-    medians = exact_median(df.select(*by, (high - low).alias("_width")), by, "_width", "int_med_width", rows)
+    medians = stored_median(df, by, high - low, seen["n"], "int_med_width", rows)
     if not by:
         return scores.withColumn("int_med_width", medians.scalar())
     names = [f"_m_{k}" for k in by]

@@ -18,6 +18,7 @@ from chronoweave.operators.ranges import (
 )
 from chronoweave.operators.splits import Splits, splits_for
 from chronoweave.schemas import STAY_COLUMNS
+from chronoweave.session import pin_measured, rows_per_split
 
 TIMELINE = {
     "subject_id": "long", "hadm_id": "long", "stay_id": "long", "timer": "time", "glctimer": "time",
@@ -144,6 +145,9 @@ def to_wide(long: DataFrame, splits: Splits | None = None) -> DataFrame:
     at_start = infusions.withColumnRenamed("_own", "timer")
     in_force = during.unionByName(at_start)
     joined = base.join(in_force, ["stay_id", "timer"], "left").join(boluses, ["stay_id", "timer"], "left")
+    # overlapping infusions may fill an entity, or one time of it, that wasn't full: the cuts are made for the joined rows
+    joined, seen = pin_measured(joined, n=F.count(F.lit(1)))
+    splits = None if seen["n"] > rows_per_split(long.sparkSession) else Splits(("stay_id",), "timer", None)
     out = with_neighbours(
         joined,
         ["stay_id"],
@@ -221,8 +225,9 @@ def drop_fanned_out_entities(
         .select(F.col(key).alias("_gone"))
         .distinct()
     )
-    gone = removals.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_gone").isNull()).alias("n_null"))
-    kept = df.join(removals, df[key] == F.col("_gone"), "left_anti")
-    return kept.filter(gone.select("n_null").scalar() == 0).filter(
-        F.col(key).isNotNull() | (gone.select("n").scalar() == 0)
-    )
+    removals, seen = pin_measured(removals, n=F.count(F.lit(1)), n_null=F.count_if(F.col("_gone").isNull()))
+    if seen["n"] == 0:
+        return df
+    if seen["n_null"]:
+        return df.filter(F.lit(False))
+    return df.join(removals, df[key] == F.col("_gone"), "left_anti").filter(F.col(key).isNotNull())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators import cohort as c
 from chronoweave.operators.entities import split_by_entity
-from chronoweave.operators.ordered import add_row_id
+from chronoweave.operators.ordered import add_row_id, as_columns
 from chronoweave.operators.splits import PART, Splits, find_splits
 from chronoweave.operators.timeline import wide_order
 from chronoweave.sources.tables import write_csv
@@ -23,7 +23,7 @@ def modelling_cohort(wide: DataFrame, splits: Splits | None = None) -> DataFrame
     df = c.lower_names(wide).filter(F.col("stay_id").isNotNull())
     splits = splits or find_splits(df, ["stay_id"], "timer")
     order = wide_order(df)
-    df = c.keep_usable(splits.place(df), order=order, splits=splits)
+    df = c.keep_usable(splits.place(df, as_columns(order[1:])), order=order, splits=splits)
     df = c.mark_and_fill(df, order=order, splits=splits).drop(PART)
     df = c.drop_leading(add_row_id(df, ["stay_id", *order]))
     df = c.replace_outliers(df)

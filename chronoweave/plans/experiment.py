@@ -5,6 +5,7 @@ The driver loops over folds and settings only; every fit, prediction and score i
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from chronoweave.functions.links import exp_link, log_link
 from chronoweave.operators.entities import fold_by_entity, split_by_entity
 from chronoweave.operators.features import lag_features, lag_names
-from chronoweave.operators.models import MeanVariance, fit_linear, fit_trees
+from chronoweave.operators.least_squares import fit_folds, store_for_fits
+from chronoweave.operators.models import MeanVariance, fit_trees
 from chronoweave.operators.scoring import score, score_points
 from chronoweave.operators.summaries import tagged_union
 from chronoweave.roles import Roles
@@ -29,9 +31,7 @@ def with_folds(df: DataFrame, roles: Roles, k: int, seed: int = 0) -> DataFrame:
     return split.withColumn("fold", F.when(F.col("_test"), 0).otherwise(-1)).drop("_test")
 
 
-def fit_model(df: DataFrame, roles: Roles, model: str, task: str, **settings) -> MeanVariance:
-    if model == "LinearModel":
-        return fit_linear(df, roles.model_inputs, "target", task)
+def fit_tree_model(df: DataFrame, roles: Roles, task: str, **settings) -> MeanVariance:
     inputs = ["delta_t", *lag_names(roles.timevarying), *roles.model_inputs]
     held = split_by_entity(df, 0.1, settings.pop("split_seed", 0), roles.id, "_validation")
     return fit_trees(held, inputs, "target", task, "_validation", **settings)
@@ -50,7 +50,7 @@ def run_folds(
 ) -> tuple[DataFrame, DataFrame]:
     """Predictions (`rn, mu[, sigma], target, model, fold`) and one metric row per fold.
 
-    Each fold's model is fitted on the other folds' unmasked rows. Lag features, which a tree model uses, look
+    Each fold's model is fitted on the other folds' unmasked rows; linear ones of all folds together. Lag features, which a tree model uses, look
     only at the row's own entity, so they can be made once before the split.
     """
     data = df
@@ -59,16 +59,22 @@ def run_folds(
             data, roles.timevarying, roles.id, roles.time_vars, order=[roles.time_vars[0], roles.key]
         )
     data = data.filter(F.col(roles.target_mask) == 0).withColumn("target", log_link(F.col(roles.target)))
-    data = pin(with_folds(data, roles, k, seed))  # every fold's fit and prediction reads the same rows
-    parts = []
-    for fold in range(k):
-        fitted = fit_model(data.filter(F.col("fold") != fold), roles, model, task, **dict(settings))
-        predicted = fitted.predict(data.filter(F.col("fold") == fold))
-        outputs = ["mu", "sigma"] if task == "gaussian" else ["mu"]
-        parts.append(
-            predicted.select(F.col(roles.key).alias("rn"), *outputs, "target", F.lit(fitted.name).alias("model"), "fold")
-        )
-    predictions = reduce(DataFrame.unionByName, parts)
+    data = with_folds(data, roles, k, seed)
+    outputs = ["mu", "sigma"] if task == "gaussian" else ["mu"]
+
+    def predicted(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(roles.key).alias("rn"), *outputs, "target", F.lit(name).alias("model"), "fold")
+
+    if model == "LinearModel":
+        data, seen = store_for_fits(data, roles.model_inputs)
+        fitted = fit_folds(data, seen, roles.model_inputs, list(range(k)), task=task)
+        predictions = predicted(fitted.predict(data.filter(F.col("fold") >= 0)), fitted.name)
+    else:
+        data, parts = pin(data), []  # every fold's fit and prediction reads the same rows
+        for fold in range(k):
+            fitted = fit_tree_model(data.filter(F.col("fold") != fold), roles, task, **dict(settings))
+            parts.append(predicted(fitted.predict(data.filter(F.col("fold") == fold)), fitted.name))
+        predictions = reduce(DataFrame.unionByName, parts)
     by = ["model", "fold"]
     scores = score(predictions.na.drop(), by, exp_link) if task == "gaussian" else score_points(predictions, by, exp_link)
     if predictions_path:
@@ -79,9 +85,44 @@ def run_folds(
 
 
 def run_grid(df: DataFrame, roles: Roles, grid: list[dict], param: str, **fixed) -> DataFrame:
-    """Scores for every setting in `grid`, stacked, with the parameter's name and value."""
+    """Scores for every setting in `grid`, stacked, with the parameter's name and value (a number if all values are)."""
+    values = [setting[param] for setting in grid]
+    numeric = all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values)
     results = {}
-    for setting in grid:
+    for setting, value in zip(grid, values):
         _, scores = run_folds(df, roles, **{**fixed, **setting})
-        results[float(setting[param])] = scores
+        results[float(value) if numeric else str(value)] = scores
     return tagged_union(results, "value").withColumn("param", F.lit(param))
+
+
+def run_sweep(df: DataFrame, roles: Roles, sweeps: dict[str, dict[str, list]], **fixed) -> DataFrame:
+    """Scores of models x parameters x values: `sweeps` has, per model, the values to try of each of its parameters.
+
+    A parameter is any setting of `run_folds` or of the model (`task`, `k`, `rounds`, ...), or `roles`, whose values are names
+    of `roles_of`: "all", "without_interventions", or a list of inputs. Values may be numbers, texts, flags or lists;
+    `value` is their text, and `number` the number where it is one. The others keep what `fixed` says.
+    """
+    parts = []
+    for model, params in sweeps.items():
+        for param, values in params.items():
+            for value in values:
+                setting = {**fixed, "model": model, **({} if param == "roles" else {param: value})}
+                own = roles_of(roles, value) if param == "roles" else roles
+                _, scores = run_folds(df, own, **setting)
+                number = float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+                text = "+".join(value) if isinstance(value, (list, tuple)) else str(value)
+                parts.append(
+                    scores.select(
+                        "*", F.lit(param).alias("param"), F.lit(text).alias("value"), F.lit(number).cast("double").alias("number")
+                    )
+                )
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def roles_of(roles: Roles, which: str | list[str]) -> Roles:
+    """The roles with all inputs, without interventions, or with the named inputs alone."""
+    if which == "all":
+        return roles
+    if which == "without_interventions":
+        return roles.without_interventions()
+    return replace(roles, inputs=tuple(c for c in roles.model_inputs if c in which))

@@ -18,10 +18,13 @@ class Roles:
     static: tuple[str, ...] = ()
     counts: tuple[str, ...] = ()
     features_divider: dict[str, float] = field(default_factory=dict)
+    inputs: tuple[str, ...] | None = None
 
     @property
     def model_inputs(self) -> list[str]:
-        """Inputs of the tabular models."""
+        """Inputs of the tabular models: all of these roles, unless `inputs` names some."""
+        if self.inputs is not None:
+            return list(self.inputs)
         return [*self.timevarying, *self.static, *self.counts, *self.time_vars]
 
     @property

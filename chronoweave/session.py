@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 ROWS_PER_SPLIT = "spark.chronoweave.split.rows"
 
@@ -65,3 +65,10 @@ def pin(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     _pinned.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pin_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """`pin`, and aggregates of the stored rows that come with the write instead of a job of their own."""
+    seen = Observation()
+    stored = pin(df.observe(seen, *[c.alias(n) for n, c in measures.items()]))
+    return stored, seen.get

@@ -623,6 +623,77 @@ scoring("by_fold", "scored", "model, fold", 0.05)
 scoring("by_model", "scored", "model", 0.05)
 scoring("of_stratum", "stratum", "model", 0.2)
 
+# ------------------------------------------------------------------ least squares per fold
+
+
+def folded(name: str, k: int) -> None:
+    """The cohort's scored rows with the label and one of `k` folds of stays."""
+    step(
+        name,
+        f"""
+SELECT c.*, ln(glc_next / 140) AS target, fold FROM cohort c
+JOIN (SELECT stay_id AS s, ntile({k}) OVER (ORDER BY stay_id) - 1 AS fold FROM (SELECT DISTINCT stay_id FROM cohort)) ON s = c.stay_id
+WHERE msk = 0""",
+        "cohort",
+    )
+
+
+def least_squares(name: str, source: str, inputs, k: int) -> None:
+    """Each row's `mu` and `v` from a fit on the other folds' rows.
+
+    Inputs are made orthogonal one after the other on the rows of the fit; a row's fitted value is then the mean and,
+    per input, its share. Missing inputs are 0; an input that the ones before it explain has no share.
+    """
+    x = [f"x{n}" for n in range(len(inputs))]
+
+    def fitted(of: str) -> str:
+        parts = [f"avg({of}) FILTER (train) OVER w"]
+        parts += [f"coalesce({q} * sum({of} * {q}) FILTER (train) OVER w / nullif(CASE WHEN s{q} > 1e-9 * n THEN s{q} END, 0), 0)" for q in x]
+        return " + ".join(parts)
+
+    columns = ", ".join(f"coalesce({c}, 0) AS {q}" for c, q in zip(inputs, x))
+    step(
+        f"{name}_c",
+        f"""
+SELECT rn, fold, i AS fit, fold <> i AS train, target, count(*) FILTER (fold <> i) OVER (PARTITION BY i) AS n,
+       {", ".join(f"{q} - avg({q}) FILTER (fold <> i) OVER (PARTITION BY i) AS {q}" for q in x)}
+FROM (SELECT rn, fold, target, {columns} FROM {source}), generate_series(0, {k - 1}) AS g(i)""",
+        source,
+    )
+    last = f"{name}_c"
+    for n, q in enumerate(x):
+        share = f"coalesce(sum({{0}} * {q}) FILTER (train) OVER w / nullif(CASE WHEN s{q} > 1e-9 * n THEN s{q} END, 0), 0) * {q}"
+        rest = ", ".join(f"{later} - {share.format(later)} AS {later}" for later in x[n + 1 :])
+        step(
+            f"{name}_{q}",
+            f"""
+SELECT * {f"REPLACE ({rest})" if rest else ""} FROM (
+    SELECT *, sum({q} * {q}) FILTER (train) OVER (PARTITION BY fit) AS s{q} FROM {last}) WINDOW w AS (PARTITION BY fit)""",
+            last,
+        )
+        last = f"{name}_{q}"
+    step(f"{name}_mu", f"SELECT *, {fitted('target')} AS mu FROM {last} WINDOW w AS (PARTITION BY fit)", last)
+    step(f"{name}_e", f"SELECT *, (target - mu) ** 2 + 0.01 AS e FROM {name}_mu", f"{name}_mu")
+    step(
+        name,
+        f"""
+SELECT rn, fold, target, mu, v, CASE WHEN v >= 0 THEN sqrt(v) END AS sigma, 'LinearModel' AS model
+FROM (SELECT *, {fitted('e')} AS v FROM {name}_e WINDOW w AS (PARTITION BY fit)) WHERE fit = fold""",
+        f"{name}_e",
+    )
+
+
+INPUTS = ["glc", "input_bolus_push", "input_bolus_injection", "input_hrs", "admission_age", "gender_m", "weight", "diabetes_with_cc",
+          "diabetes_without_cc", "n", "timer_d", "timer_next_d"]
+folded("folded3", 3)
+folded("folded2", 2)
+least_squares("linear3", "folded3", INPUTS, 3)
+least_squares("linear2", "folded2", INPUTS, 2)
+least_squares("linear3_fixed", "folded3", [c for c in INPUTS if c != "input_hrs"], 3)
+least_squares("linear3_two", "folded3", ["glc", "n"], 3)
+step("linear3_known", "SELECT * FROM linear3 WHERE sigma IS NOT NULL", "linear3")
+scoring("linear3_scores", "linear3_known", "model, fold", 0.05)
+
 # ------------------------------------------------------------------ final statements
 
 ORACLES: dict[str, str] = {}
@@ -750,6 +821,29 @@ FROM {IN_FORCE} GROUP BY p.stay_id, p.timer, p.timer_prev, p.glc""",
     "intervals",
 )
 ORACLES["sweep_in_force"] = ORACLES["averages_in_force"]
+oracle(
+    "extreme_rates_in_force",
+    f"""
+SELECT p.stay_id, {t('p.timer', 'timer')}, nullif(count(v.stay_id), 0) AS n_in_force,
+       {r('avg(v.rate) / pow(2.0, 66)', 'rate_huge')}, {r('CASE WHEN avg(v.rate) < 1 THEN avg(v.rate) * pow(2.0, 63) END', 'rate_tiny')}
+FROM probes p LEFT JOIN (
+    SELECT *, input * CASE WHEN stay_id % 3 = 0 OR (stay_id % 3 = 2 AND input % 2 = 0) THEN pow(2.0, 66) ELSE pow(2.0, -63) END AS rate
+    FROM intervals) v ON v.stay_id = p.stay_id AND v.from_time <= p.timer AND p.timer < v.to_time
+GROUP BY p.stay_id, p.timer""",
+    "probes",
+    "intervals",
+)
+ORACLES["price_medians"] = f"""
+SELECT l_returnflag, l_linestatus, {r('median(l_extendedprice)', 'median_price')},
+       {r('(SELECT median(-l_extendedprice) FROM lineitem)', 'median_negated')}
+FROM lineitem GROUP BY ALL"""
+ORACLES["neighbours_within_one_time"] = f"""
+WITH x AS (SELECT user_id, event_id, value,
+                  CASE user_id % 3 WHEN 0 THEN TIMESTAMP '2024-01-01 00:00:00' WHEN 2 THEN ts END AS t FROM events)
+SELECT user_id, event_id, {r('value')}, {t('t')}, {r('lag(value) OVER w', 'before')}, lead(event_id, 2) OVER w AS after,
+       row_number() OVER w AS n, {r('max(value) OVER (w ROWS UNBOUNDED PRECEDING)', 'highest')},
+       count(*) OVER (PARTITION BY user_id) AS size
+FROM x WINDOW w AS (PARTITION BY user_id ORDER BY t NULLS FIRST, event_id)"""
 oracle(
     "nutrition_with_repeated_rows",
     f"""
@@ -1109,3 +1203,20 @@ b AS MATERIALIZED (SELECT regr_intercept((y - a0 - a1 * q) ** 2 + 0.01, q) AS b0
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {r('l_quantity')}, {r('y', 'target')},
        {r('a0 + a1 * q', 'mu')}, {r('CASE WHEN b0 + b1 * q >= 0 THEN sqrt(b0 + b1 * q) END', 'sigma')}
 FROM x, a, b WHERE l_orderkey % 2 = 1"""
+plain("linear_fold_predictions", "linear3", "i:rn fold r:mu sigma target p:model", 5)
+plain("linear_folds", "linear3_scores", f"p:model i:fold {SCORES}", 4)
+SWEPT = [
+    ("roles", "all", "NULL", "linear3", True), ("roles", "without_interventions", "NULL", "linear3_fixed", True),
+    ("roles", "glc+n", "NULL", "linear3_two", True), ("task", "gaussian", "NULL", "linear3", True),
+    ("task", "conditional_expectation", "NULL", "linear3", False), ("k", "2", "2", "linear2", True), ("k", "3", "3", "linear3", True),
+]
+oracle(
+    "linear_sweep",
+    " UNION ALL ".join(
+        f"SELECT model, {i('fold')}, '{param}' AS param, '{value}' AS value, CAST({number} AS DOUBLE) AS number, "
+        f"{r('sqrt(avg((140 * exp(mu) - 140 * exp(target)) ** 2))', 'rmse', 4)} FROM {source} "
+        f"{'WHERE sigma IS NOT NULL' if known else ''} GROUP BY model, fold"
+        for param, value, number, source, known in SWEPT
+    ),
+    "linear3", "linear2", "linear3_fixed", "linear3_two",
+)

@@ -14,13 +14,14 @@ from chronoweave.functions.links import exp_link
 from chronoweave.operators import cohort, entities, features, nutrition, quality, readings, scoring, summaries
 from chronoweave.operators import sequences, timeline, trajectories, treatments
 from chronoweave.operators.models import fit_linear
-from chronoweave.operators.ordered import add_row_id, with_neighbours
+from chronoweave.operators.ordered import Running, Whole, add_row_id, scan, with_neighbours
 from chronoweave.operators.pairing import pair_events
+from chronoweave.operators.quantiles import exact_median
 from chronoweave.operators.ranges import Layer, in_force, stab_intervals, sum_points_between
 from chronoweave.operators.splits import find_splits
 from chronoweave.plans import clinical
 from chronoweave.plans import cohort as cohort_plan
-from chronoweave.plans.experiment import run_folds, run_grid
+from chronoweave.plans.experiment import run_folds, run_grid, run_sweep
 from chronoweave.roles import Roles
 from chronoweave.session import pin, shared_folder
 from chronoweave.sources.runs import read_predictions, read_run_metrics, save_predictions
@@ -222,6 +223,43 @@ def sweep_in_force(spark, d):
     return in_force(_probes(spark, d), ["stay_id"], "timer", [layer])
 
 
+@query()
+def extreme_rates_in_force(spark, d):
+    """Averages of rates near 1e20 for some stays, near 1e-19 for others, and of both sizes together for the rest."""
+    huge, tiny = F.col("input") * F.lit(2.0**66), F.col("input") * F.lit(2.0**-63)
+    rate = F.when(F.col("stay_id") % 3 == 0, huge).when(F.col("stay_id") % 3 == 1, tiny)
+    rate = rate.otherwise(F.when(F.col("input") % 2 == 0, huge).otherwise(tiny))
+    layer = Layer(_infusions(spark, d).withColumn("rate", rate), "from_time", "to_time", {"rate": "rate"}, "n_in_force")
+    found = in_force(_probes(spark, d).select("stay_id", "timer"), ["stay_id"], "timer", [layer])
+    return found.select(
+        "stay_id", "timer", "n_in_force", (F.col("rate") / F.lit(2.0**66)).alias("rate_huge"),
+        F.when(F.col("rate") < 1, F.col("rate") * F.lit(2.0**63)).alias("rate_tiny"),
+    )
+
+
+@query()
+def price_medians(spark, d):
+    """The exact median price per flag and status, and that of all negated prices."""
+    items = m.load(spark, d, "lineitem")
+    by_flag = exact_median(items, ["l_returnflag", "l_linestatus"], "l_extendedprice", "median_price")
+    of_all = exact_median(items, [], -F.col("l_extendedprice"), "median_negated")
+    return by_flag.withColumn("median_negated", of_all.scalar())
+
+
+@query()
+def neighbours_within_one_time(spark, d):
+    """Neighbours and running counts where a third of the users have one time for all rows, and a third have none."""
+    third = F.col("user_id") % 3
+    rows = m.load(spark, d, "events").select(
+        "user_id", "event_id", "value",
+        F.when(third == 0, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).when(third == 2, F.col("ts")).alias("t"),
+    )
+    order = ["t", "event_id"]
+    near = with_neighbours(rows, ["user_id"], order, 2, lambda w: {"before": F.lag("value").over(w), "after": F.lead("event_id", 2).over(w)})
+    counted = scan(near, ["user_id"], order, {"n": Running(F.lit(1)), "highest": Running(F.col("value"), "max"), "size": Whole("sum", F.lit(1))})
+    return counted
+
+
 @query()
 def nutrition_with_repeated_rows(spark, d):
     raw = m.clinical_tables(spark, d)
@@ -704,6 +742,21 @@ def linear_price_model(spark, d):
     )
 
 
+@query(5)
+def linear_fold_predictions(spark, d):
+    """Every scored row's forecast by the model of the other folds' stays; a third of the stays have no weight."""
+    predictions, _ = run_folds(_cohort(spark, d), ROLES, "LinearModel", 3)
+    return predictions
+
+
+@query(4)
+def linear_sweep(spark, d):
+    """Errors of the linear model over sets of inputs, tasks (mean only, too) and numbers of folds."""
+    sweeps = {"roles": ["all", "without_interventions", ["glc", "n"]], "task": ["gaussian", "conditional_expectation"], "k": [2, 3]}
+    found = run_sweep(pin(_cohort(spark, d)), ROLES, {"LinearModel": sweeps}, k=3)
+    return found.select("model", "fold", "param", "value", "number", "rmse")
+
+
 @query(4)
 def linear_folds(spark, d):
     """Scores of the linear model over three stay folds of the cohort."""

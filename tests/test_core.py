@@ -89,9 +89,30 @@ def test_parts_are_consecutive_and_even(spark):
     assert all(x.b < y.a for x, y in zip(rows, rows[1:]))
 
 
-def test_one_time_only_stays_whole(spark):
-    df = spark.range(50).selectExpr("1 as k", "5.0d as t")
-    assert not find_splits(df, ["k"], "t", rows=10).any
+@pytest.mark.parametrize("time", ["5.0d", "cast(null as double)", "if(id % 5 = 0, cast(null as double), if(id < 300, 5.0d, id))"])
+def test_one_time_of_many_rows_is_cut_by_rank(spark, split_rows, time):
+    split_rows(40)
+    df = spark.range(400).selectExpr("1 as k", f"{time} as t", "id * 7919 % 400 as i").repartition(5)
+    splits = find_splits(df, ["k"], "t", rows=40)
+    parts = splits.tag(df, [F.col("i")]).groupBy(PART)
+    first = F.min(F.struct(F.col("t").isNotNull(), "t", "i"))
+    last = F.max(F.struct(F.col("t").isNotNull(), "t", "i"))
+    found = parts.agg(F.count(F.lit(1)).alias("n"), first.alias("a"), last.alias("b")).orderBy(PART).collect()
+
+    def place(s):
+        return tuple(-1 if x is None else x for x in s)
+
+    assert max(r.n for r in found) <= 80 and len(found) >= 8
+    assert all(place(x.b) < place(y.a) for x, y in zip(found, found[1:]))
+    out = scan(df, ["k"], ["t", "i"], {"n": Running(F.lit(1)), "last": LastSeen(F.col("i"))}).orderBy("n").collect()
+    order = sorted(((r.t is not None, r.t or 0, r.i) for r in out))
+    assert [(r.t is not None, r.t or 0, r.i) for r in out] == order and [r.n for r in out] == list(range(1, 401))
+    near = with_neighbours(df, ["k"], ["t", "i"], 2, lambda w: {"up": F.lead("i", 2).over(w), "down": F.lag("i").over(w)}).collect()
+    rows = [i for _, _, i in order]
+    at = {i: n for n, i in enumerate(rows)}
+    for r in near:
+        n = at[r.i]
+        assert r.up == (rows[n + 2] if n + 2 < 400 else None) and r.down == (rows[n - 1] if n else None)
 
 
 def test_null_keys_are_cut_too(spark, split_rows):

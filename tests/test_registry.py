@@ -12,7 +12,8 @@ ALONG_TIME = [
     "paired_within_90_minutes", "paired_one_reading_per_rule", "repeated_readings", "long_timeline", "wide_timeline",
     "sweep_in_force", "rows_in_force", "points_between_rows", "stay_timeline", "wide_with_nutrition", "trailing_trim",
     "leading_trim", "interpolated", "modelling_cohort", "next_observed_value", "lagged_doses", "padded_batches",
-    "doses_without_outliers", "scores_by_model_and_fold", "observed_series",
+    "doses_without_outliers", "scores_by_model_and_fold", "observed_series", "extreme_rates_in_force", "price_medians",
+    "neighbours_within_one_time",
 ]
 
 
