@@ -766,8 +766,8 @@ def linear_folds(spark, d):
 
 @query(4)
 def tree_folds(spark, d):
-    """Scores of the boosted trees over two stay folds of the cohort, few rounds."""
-    _, scores = run_folds(_cohort(spark, d), ROLES, "CatboostModel", 2, rounds=5)
+    """Scores of the boosted trees over three stay folds of the cohort, as many rounds as the held-out stays allow."""
+    _, scores = run_folds(_cohort(spark, d), ROLES, "BoostedTrees", 3)
     return scores
 
 

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.operators.models import fit_linear, fit_trees
-from chronoweave.plans.experiment import run_folds, run_grid
+from chronoweave.operators.least_squares import fit_folds, store_for_fits
+from chronoweave.plans.experiment import run_folds, run_grid, run_sweep, with_folds
 from chronoweave.roles import Roles
 
 ROLES = Roles(
@@ -58,6 +59,25 @@ def test_trees_learn_and_give_deviation(spark):
     assert error < 0.5 and out.filter("sigma is null").count() <= 300
 
 
+def test_sigma_of_trees_holds_on_rows_they_have_not_seen(spark):
+    """Noise of deviation 0.2 or 1 by a second input; half the rows are kept from the fit altogether."""
+    rng = np.random.default_rng(7)
+    n = 6000
+    x, loud = rng.integers(0, 12, n).astype(float), rng.integers(0, 2, n).astype(float)
+    y = 0.7 * x + 2 * loud + rng.normal(size=n) * np.where(loud > 0, 1.0, 0.2)
+    rows = [(i, *map(float, v)) for i, v in enumerate(zip(x, loud, y))]
+    df = spark.createDataFrame(rows, "i long, x double, loud double, target double").withColumn("held", F.col("i") % 10 == 1)
+    fitted = fit_trees(df.filter("i % 2 = 1"), ["x", "loud"], validation="held")
+    assert 2 < fitted.mean.getNumTrees < 500  # ended by the held rows, far below the allowed 10,000 rounds
+    out = fitted.predict(df.filter("i % 2 = 0")).toPandas()
+    z = (out.target - out.mu) / out.sigma
+    assert 0.9 < float((z**2).mean()) < 1.1
+    for side in (0.0, 1.0):
+        part = out[out.loud == side]
+        assert 0.4 < float((((part.target - part.mu) / part.sigma) ** 2).mean()) < 1.6
+    assert out[out.loud == 1].sigma.mean() > 1.5 * out[out.loud == 0].sigma.mean()
+
+
 def test_folds_cover_every_scored_row_once(cohort, tmp_path):
     predictions, scores = run_folds(
         cohort, ROLES, k=3, predictions_path=str(tmp_path / "p"), metrics_path=str(tmp_path / "m"))
@@ -69,7 +89,7 @@ def test_folds_cover_every_scored_row_once(cohort, tmp_path):
 
 
 def test_tree_folds_and_point_task(cohort):
-    predictions, scores = run_folds(cohort, ROLES, "CatboostModel", 2, "conditional_expectation", rounds=2)
+    predictions, scores = run_folds(cohort, ROLES, "BoostedTrees", 2, "conditional_expectation", rounds=2)
     assert scores.columns == ["model", "fold", "rmse"] and scores.count() == 2
     assert {r.model for r in predictions.select("model").distinct().collect()} == {"BoostedTrees"}
 
@@ -77,3 +97,46 @@ def test_tree_folds_and_point_task(cohort):
 def test_grid_over_one_split(cohort):
     out = run_grid(cohort, ROLES, [{"seed": 1}, {"seed": 2}], "seed", k=1, task="conditional_expectation").collect()
     assert {(r.param, r.value, r.fold) for r in out} == {("seed", 1.0, 0), ("seed", 2.0, 0)}
+
+
+def test_sweep_of_models_parameters_and_values(cohort):
+    sweeps = {
+        "LinearModel": {"roles": ["all", ["glc"]], "task": ["gaussian", "conditional_expectation"]},
+        "BoostedTrees": {"rate": [0.1, 0.3], "depth": [1]},
+    }
+    linear = run_sweep(cohort, ROLES, {"LinearModel": sweeps["LinearModel"]}, k=2).collect()
+    trees = run_sweep(cohort, ROLES, {"BoostedTrees": sweeps["BoostedTrees"]}, k=2, rounds=2).collect()
+    assert {(r.model, r.param, r.value, r.number) for r in linear + trees} == {
+        ("LinearModel", "roles", "all", None), ("LinearModel", "roles", "glc", None), ("LinearModel", "task", "gaussian", None),
+        ("LinearModel", "task", "conditional_expectation", None), ("BoostedTrees", "rate", "0.1", 0.1),
+        ("BoostedTrees", "rate", "0.3", 0.3), ("BoostedTrees", "depth", "1", 1.0),
+    }
+    assert len(linear) == 8 and len(trees) == 6 and all(r.rmse > 0 for r in linear + trees)
+
+
+def test_folds_together_equal_folds_alone(cohort):
+    """Every fold's weights are those of a plain fit on the other folds' rows, mean and variance."""
+    predictions, _ = run_folds(cohort, ROLES, k=3)
+    rows = {r.rn: r for r in with_folds(cohort.filter("msk = 0"), ROLES, 3).collect()}
+    inputs = ROLES.model_inputs
+    design = {i: np.array([1.0] + [float(r[c] or 0.0) for c in inputs]) for i, r in rows.items()}
+    y = {i: np.log(r.glc_next / 140) for i, r in rows.items()}
+    for p in predictions.collect():
+        assert abs(p.target - y[p.rn]) < 1e-12
+    for fold in range(3):
+        train = [i for i, r in rows.items() if r.fold != fold]
+        a, b = np.array([design[i] for i in train]), np.array([y[i] for i in train])
+        w = np.linalg.lstsq(a, b, rcond=None)[0]
+        v = np.linalg.lstsq(a, (b - a @ w) ** 2 + 1e-2, rcond=None)[0]
+        for p in predictions.filter(F.col("fold") == fold).collect():
+            assert abs(p.mu - design[p.rn] @ w) < 1e-8
+            var = design[p.rn] @ v
+            assert p.sigma is None and var < 0 or abs(p.sigma - np.sqrt(var)) < 1e-8
+
+
+def test_linear_folds_with_nothing_to_learn_from(spark):
+    rows = [(1, 0, 1.0, 2.0), (2, 0, 1.0, None), (3, 0, 1.0, 2.0)]
+    stored, seen = store_for_fits(spark.createDataFrame(rows, "i long, fold int, same double, target double"), ["same"])
+    out = {r.i: (r.mu, r.sigma) for r in fit_folds(stored, seen, ["same"], [0, 1]).predict(stored.withColumn("fold", F.lit(1))).collect()}
+    assert out[1][0] == pytest.approx(2.0) and out[1][1] == pytest.approx(0.1)
+    assert {(r.mu, r.sigma) for r in fit_folds(stored, seen, ["same"], [0, 1]).predict(stored).collect()} == {(None, None)}
