@@ -720,6 +720,17 @@ for q, s in (
     ("treatments_clean", "treatments_clean"),
 ):
     plain(q, s, T_KINDS)
+ORACLES["boluses_capped_by_parts"] = ORACLES["boluses_capped"]
+ORACLES["boluses_capped_by_sketch"] = ORACLES["boluses_capped"]
+oracle(
+    "limits_from_parts",
+    """
+SELECT kind, count(DISTINCT v) AS n_distinct, TRUE AS near FROM (
+    SELECT CASE WHEN insulinadmin = 'INFUSION' THEN 'infusion' ELSE 'bolus' END AS kind,
+           CASE WHEN insulinadmin = 'INFUSION' THEN coalesce(rate, originalrate) ELSE amount END AS v
+    FROM treatments_raw WHERE upper(insulintype) = 'SHORT' AND insulinadmin IS NOT NULL) GROUP BY kind""",
+    "treatments_raw",
+)
 plain(
     "parenteral_components",
     "parenteral",

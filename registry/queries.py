@@ -727,6 +727,29 @@ def boluses_capped_by_sketch(spark, d):
     return treatments.clean_boluses(treatments.raw_treatments(m.clinical_tables(spark, d).orders))
 
 
+@query()
+def limits_from_parts(spark, d):
+    """Sketches stored month by month, united: within four standard errors of the exact count, whole and per kind?"""
+    raw = pin(treatments.raw_treatments(m.clinical_tables(spark, d).orders))
+    path, month = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}", F.date_format("starttime", "yyyy-MM")
+    for odd in (0, 1, 1):  # parts arrive in two loads; the second is repeated and replaces itself
+        treatments.add_part(raw.filter(F.month("starttime") % 2 == odd), month, path)
+    limits = treatments.limits_of(spark.read.parquet(path))
+    kind = F.when(F.upper("insulinadmin") == "INFUSION", "infusion").when(F.upper("insulinadmin").isin("BOLUS_PUSH", "BOLUS_INJECTION"), "bolus")
+    value = F.when(F.col("kind") == "bolus", F.col("amount")).otherwise(F.coalesce("rate", "originalrate"))
+    short = raw.filter(F.upper("insulintype") == "SHORT").withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    exact = short.groupBy("kind").agg(F.count_distinct(value).alias("n_distinct"))
+    near = F.abs(F.col("limit") - F.col("n_distinct")) <= F.greatest(F.lit(0.5), 4 * treatments.SKETCH_ERROR * F.col("n_distinct"))
+    return exact.join(limits, "kind").select("kind", "n_distinct", near.alias("near"))
+
+
+@query()
+def boluses_capped_by_parts(spark, d):
+    """Boluses under a limit from stored sketches; with this few distinct amounts the sketch counts exactly."""
+    raw = pin(treatments.raw_treatments(m.clinical_tables(spark, d).orders))
+    return treatments.clean_boluses(raw, sketches=treatments.limit_sketches(raw, F.date_format("starttime", "yyyy-MM")))
+
+
 # ------------------------------------------------------------------ models
 
 

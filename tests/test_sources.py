@@ -27,7 +27,50 @@ def test_predictions_carry_fold_and_run(spark, run_tree):
     assert got == {("version_3", 2, 3, "LinearModel", "h32"), ("version_10", 0, 10, "GRUModel", "h32")}
     assert out.count() == 4 and out.filter("sigma is null").count() == 2
     assert out.select(runs.swept_value()).first()[0] == 32.0
-    assert {r.model for r in runs.run_models(out).collect()} == {"LinearModel", "GRUModel"}
+    assert {r.model for r in runs.run_models(spark, run_tree).collect()} == {"LinearModel", "GRUModel"}
+
+
+def test_a_row_may_hold_the_name_of_a_column(spark, tmp_path):
+    for n, model in enumerate(("mu", "mu", "other")):
+        folder = tmp_path / "r" / f"version_{n} a+b"
+        folder.mkdir(parents=True)
+        (folder / "predictions_0.csv").write_text(f"rn,mu,sigma,model\n{n},0.5,0.1,{model}\n")
+    out = runs.read_predictions(spark, str(tmp_path / "r")).collect()
+    assert sorted((r.rn, r.mu, r.sigma, r.model, r.run) for r in out) == [
+        (0, 0.5, 0.1, "mu", 0), (1, 0.5, 0.1, "mu", 1), (2, 0.5, 0.1, "other", 2)]
+    assert sorted((r.run_folder, r.model) for r in runs.run_models(spark, str(tmp_path / "r")).collect()) == [
+        ("version_0 a+b", "mu"), ("version_1 a+b", "mu"), ("version_2 a+b", "other")]
+
+
+def test_odd_files(spark, tmp_path):
+    """An empty file, one with a header alone, a row like the header, line breaks in quotes, columns in another order."""
+    texts = ["", "rn,mu,sigma,model\n", "rn,mu,sigma,model\n1,2,3,sigma\n", 'model,"rn",sigma\n"a\nb",4,5\n"c,d",6,7\n', "mu,model\n8,x\n9,y\n"]
+    for n, text in enumerate(texts):
+        (tmp_path / "r" / f"version_{n}").mkdir(parents=True)
+        (tmp_path / "r" / f"version_{n}" / "predictions_1.csv").write_text(text)
+    kinds = {"rn": "long", "model": "string"}
+    out = runs.read_by_header(spark, f"{tmp_path}/r/*/predictions*", ["rn", "mu", "sigma", "model"], kinds, multiline=True).collect()
+    assert sorted((r.run, r.rn, r.mu, r.sigma, r.model) for r in out if r.run != 4) == [
+        (2, 1, 2.0, 3.0, "sigma"), (3, 4, None, 5.0, "a\nb"), (3, 6, None, 7.0, "c,d")]
+    assert sorted((r.mu, r.model, r.rn) for r in out if r.run == 4) == [(8.0, "x", None), (9.0, "y", None)]
+    lines = runs.first_lines(spark, f"{tmp_path}/r/*/predictions*")
+    assert [(f.names, f.fields) for f in lines][:2] == [(("rn", "mu", "sigma", "model"), ()), (("rn", "mu", "sigma", "model"), ("1", "2", "3", "sigma"))]
+    assert runs.first_lines(spark, f"{tmp_path}/none/*") == []
+    assert runs.read_predictions(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_first_lines_of_files_cut_into_blocks(spark, tmp_path):
+    (tmp_path / "r" / "version_1").mkdir(parents=True)
+    rows = "\n".join(f"{i},0.5,0.1,mu" for i in range(20_000))
+    (tmp_path / "r" / "version_1" / "predictions_0.csv").write_text("rn,mu,sigma,model\n" + rows + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000b")
+        out = runs.read_predictions(spark, str(tmp_path / "r"))
+        assert out.rdd.getNumPartitions() > 5 and out.count() == 20_000 and out.agg({"rn": "sum"}).first()[0] == 199_990_000
+        assert runs.first_lines(spark, f"{tmp_path}/r/*/*")[0].fields == ("0", "0.5", "0.1", "mu")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
 def test_metrics_skip_runs_without_predictions_and_empty_rows(spark, run_tree):

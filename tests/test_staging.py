@@ -176,3 +176,25 @@ def test_wide_keeps_infusion_in_force(spark):
     assert [r.glc_next for r in out] == [None, 120.0, 130.0, None, None, None]
     assert out[2].glcsource == "fingerstick"  # lower case sorts after upper case
     assert [r.timer_prev for r in out] == [None, at(0), at(10), at(20), at(30), at(40)]
+
+
+def test_sketches_of_parts_unite_to_the_whole(spark, tmp_path):
+    """A new part adds its own sketches alone, repeating it changes nothing, and old orders are not needed for the limit."""
+    rows = spark.range(60_000).selectExpr(
+        "id as subject_id", "id as hadm_id", "id as stay_id", "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 3 as int)) as starttime",
+        "timestamp_ntz'2024-01-02' as endtime", "cast(id * 7919 % 20000 as double) / 7 as amount", "if(id % 2 = 0, null, cast(id % 50 as double)) as rate",
+        "cast(id % 9 as double) as originalrate", "1 as itemid", "'x' as ordercategoryname", "'Short' as insulintype",
+        "if(id % 5 = 0, 'INFUSION', 'BOLUS_PUSH') as insulinadmin", "0 as infxstop",
+    )
+    path = str(tmp_path / "sketches")
+    for day in (0, 1, 2, 2):
+        treatments.add_part(rows.filter(f"day(starttime) = {day + 1}"), f"day {day}", path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 6 and {r.part for r in stored.select("part").collect()} == {"day 0", "day 1", "day 2"}
+    limits = {r.kind: r.limit for r in treatments.limits_of(stored).collect()}
+    infusions = rows.filter("insulinadmin = 'INFUSION'").selectExpr("count(distinct coalesce(rate, originalrate)) as n").first().n
+    boluses = rows.filter("insulinadmin <> 'INFUSION'").selectExpr("count(distinct amount) as n").first().n
+    assert limits["infusion"] == infusions and abs(limits["bolus"] / boluses - 1) < 4 * treatments.SKETCH_ERROR
+    new = treatments.clean_infusions(rows.filter("day(starttime) = 1 and id < 100"), sketches=stored)
+    assert new.count() == new.filter(f"rate > 0 and rate < {limits['infusion']}").count() > 0
+    assert treatments.limits_of(treatments.limit_sketches(rows.filter("false"), "none")).count() == 0
