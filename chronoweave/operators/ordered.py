@@ -165,12 +165,15 @@ def scan(
 def add_row_id(df: DataFrame, order: list[str], name: str = "rn", start: int = 0) -> DataFrame:
     """Gap-free row number over the whole table in `order`, without a one-task sort.
 
-    Rows are range-partitioned on all order columns, which cuts a heavy entity too. The laid-out rows are
-    stored once, then each partition's rows get the sizes of the partitions before it added.
+    Rows are range-partitioned on all order columns and a hash of the row, which cuts a heavy entity and many rows of one
+    order, too. The laid-out rows are stored once, then each partition's rows get the sizes of the partitions before it
+    added.
     """
+    hashed = [f.name for f in df.schema if "map" not in f.dataType.simpleString()]  # maps can't be hashed
+    along = [*[F.col(c).asc_nulls_first() for c in order], F.xxhash64(*[F.col(f"`{c}`") for c in hashed]).asc()]
     laid = pin(
-        df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order])
-        .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
+        df.repartitionByRange(*along)
+        .sortWithinPartitions(*along)
         .withColumns(
             {
                 "_pid": F.spark_partition_id(),

@@ -198,6 +198,13 @@ def clinical_tables(spark: SparkSession, sf_dir: str) -> RawTables:
     )
 
 
+#: The inputs that the cohort made from `modelling_rows` has.
+COHORT_INPUTS = [
+    "glc", "input_bolus_push", "input_bolus_injection", "input_hrs", "admission_age", "gender_m", "weight", "diabetes_with_cc",
+    "diabetes_without_cc", "n",
+]
+
+
 def modelling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The timeline as one row per stay and time: value, next value, dose, and hours since the stay began."""
     base = timeline(spark, sf_dir)

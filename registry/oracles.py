@@ -694,6 +694,18 @@ least_squares("linear3_two", "folded3", ["glc", "n"], 3)
 step("linear3_known", "SELECT * FROM linear3 WHERE sigma IS NOT NULL", "linear3")
 scoring("linear3_scores", "linear3_known", "model, fold", 0.05)
 
+step(
+    "simulated_folded",
+    """
+SELECT *, ln(glucose_t_obs_next / 140) AS target, glucose_t_obs + id % 7 AS glucose_t, ntile_of - 1 AS fold FROM (
+    SELECT *, row_number() OVER (ORDER BY id, t) - 1 AS rn FROM simulated_next)
+JOIN (SELECT s, ntile(3) OVER (ORDER BY s) AS ntile_of FROM (
+    SELECT DISTINCT id AS s FROM simulated_next WHERE obs AND glucose_t_obs_next IS NOT NULL)) ON s = id
+WHERE obs AND glucose_t_obs_next IS NOT NULL""",
+    "simulated_next",
+)
+least_squares("simulated_linear", "simulated_folded", ["glucose_t", "n", "t", "t1"], 3)
+
 # ------------------------------------------------------------------ final statements
 
 ORACLES: dict[str, str] = {}
@@ -1231,3 +1243,20 @@ oracle(
     ),
     "linear3", "linear2", "linear3_fixed", "linear3_two",
 )
+plain("simulated_fold_predictions", "simulated_linear", "i:rn fold r:mu sigma target p:model", 5)
+plain("role_columns", "cohort", "i:rn stay_id r:glc_next glc input_hrs i:diabetes_with_cc diabetes_without_cc n r:timer_d timer_next_d")
+plain("interval_scores", "by_model", "p:model r:int_score_mean int_coverage int_av_width int_med_width", 5)
+plain("appended_metrics", "by_fold", f"p:model i:fold {SCORES}", 5)
+ORACLES["sample_is_whole_stays"] = "SELECT least(20, count(DISTINCT user_id)) AS n_stays, TRUE AS whole FROM events"
+oracle("exported_cohort", f"SELECT {pick('i:rn stay_id t:timer r:glc glc_next i:n')}, CAST(1 AS BIGINT) AS sides FROM cohort", "cohort")
+oracle(
+    "held_out_stays",
+    """
+SELECT held_out, CAST(CASE WHEN held_out THEN ceil(0.1 * k) ELSE k - ceil(0.1 * k) END AS BIGINT) AS stays
+FROM (SELECT count(DISTINCT stay_id) AS k FROM cohort), (VALUES (TRUE), (FALSE)) AS v(held_out)""",
+    "cohort",
+)
+ORACLES["sorted_view"] = f"""
+SELECT o_orderkey, {r('o_totalprice')}, customer FROM (
+    SELECT *, CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey END AS customer FROM orders)
+ORDER BY customer NULLS FIRST, o_totalprice, o_orderkey LIMIT 700"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoweave import schemas
 from chronoweave.functions import codes
 from chronoweave.functions.links import exp_link
 from chronoweave.operators import cohort, entities, features, nutrition, quality, readings, scoring, summaries
@@ -22,10 +23,10 @@ from chronoweave.operators.splits import find_splits
 from chronoweave.plans import clinical
 from chronoweave.plans import cohort as cohort_plan
 from chronoweave.plans.experiment import run_folds, run_grid, run_sweep
-from chronoweave.roles import Roles
+from chronoweave.roles import load_roles
 from chronoweave.session import pin, shared_folder
-from chronoweave.sources.runs import read_predictions, read_run_metrics, save_predictions
-from chronoweave.sources.tables import read_csv, write_csv, write_rows_csv
+from chronoweave.sources.runs import append_metrics, read_predictions, read_run_metrics, save_predictions
+from chronoweave.sources.tables import as_view, read_csv, read_table, write_csv, write_rows_csv
 from registry import mapping as m
 from registry.present import shown
 
@@ -480,6 +481,45 @@ def customer_split_covers(spark, d):
     return sides
 
 
+@query()
+def sample_is_whole_stays(spark, d):
+    """A sample of twenty stays: how many there are, and whether every row of theirs is there once."""
+    rows = m.timeline(spark, d).select("stay_id", "timer")
+    drawn = entities.sample_entities(rows, 20, 3).groupBy("stay_id").agg(F.count(F.lit(1)).alias("drawn"))
+    held = rows.groupBy("stay_id").agg(F.count(F.lit(1)).alias("held"))
+    return drawn.join(held, "stay_id").agg(
+        F.count(F.lit(1)).alias("n_stays"), F.bool_and(F.col("drawn") == F.col("held")).alias("whole")
+    )
+
+
+@query()
+def exported_cohort(spark, d):
+    """The cohort as the two CSV files of a hold-out by stay, read back; no stay is on both sides."""
+    root = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    rows = pin(_cohort(spark, d).select(*COHORT))
+    cohort_plan.save_cohort(rows, f"{root}/main", f"{root}/validation")
+    schema = T.StructType([rows.schema["rn"], *[f for f in rows.schema if f.name != "rn"]])
+    sides = {n: read_csv(spark, f"{root}/{name}", schema) for n, name in enumerate(("main", "validation"))}
+    both = summaries.tagged_union(sides, "side")
+    stays = both.groupBy("stay_id").agg(F.count_distinct("side").alias("sides"))
+    return both.select("rn", "stay_id", "timer", "glc", "glc_next", "n").join(stays, "stay_id")
+
+
+@query()
+def held_out_stays(spark, d):
+    """Sizes of that hold-out's sides; which stays go where is up to the hash."""
+    marked = entities.split_by_entity(_cohort(spark, d).select("stay_id"), 0.1)
+    return marked.groupBy("held_out").agg(F.count_distinct("stay_id").alias("stays"))
+
+
+@query()
+def sorted_view(spark, d):
+    """The first rows of a view sorted by customer and price, a NULL customer first."""
+    customer = F.when(F.col("o_orderkey") % 50 != 0, F.col("o_custkey"))
+    as_view(m.load(spark, d, "orders").select("o_orderkey", "o_totalprice", customer.alias("customer")), "sorted_orders")
+    return read_table(spark, "sorted_orders", ["customer", "o_totalprice", "o_orderkey"]).limit(700)
+
+
 @query()
 def sampled_stays(spark, d):
     return entities.sample_entities(m.timeline(spark, d), 20, 3).select("stay_id", "timer", "glc", "event")
@@ -499,18 +539,15 @@ def lagged_doses(spark, d):
     )
 
 
-ROLES = Roles(
-    key="rn",
-    id="stay_id",
-    target="glc_next",
-    time_vars=("timer_d", "timer_next_d"),
-    target_mask="msk",
-    timevarying=("glc", "input_bolus_push", "input_bolus_injection", "input_hrs"),
-    intervention=("input_hrs",),
-    static=("admission_age", "gender_m", "weight", "diabetes_with_cc", "diabetes_without_cc"),
-    counts=("n",),
-    features_divider={"input_hrs": 20.0, "input_bolus_push": 20.0, "input_bolus_injection": 30.0},
-)
+#: The roles of the cohort made from `events`, which has no nutrition.
+ROLES = load_roles(dataset="clinical_cohort").among([*m.COHORT_INPUTS])
+
+
+@query()
+def role_columns(spark, d):
+    """Key, entity, target and inputs of a role file's small feature set."""
+    roles = load_roles(dataset="clinical_cohort", feature_set="test_features")
+    return _cohort(spark, d).select(roles.key, roles.id, roles.target, *roles.model_inputs)
 
 
 @query()
@@ -669,6 +706,22 @@ def metrics_long(spark, d):
     )
 
 
+@query(5)
+def interval_scores(spark, d):
+    """The interval scores alone, by their common prefix."""
+    return summaries.select_prefixes(scoring.score(_scored(spark, d), ["model"], exp_link), "model", "int_")
+
+
+@query(5)
+def appended_metrics(spark, d):
+    """Metric rows of three folds, appended run by run to one table."""
+    path = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    scores = pin(scoring.score(_scored(spark, d), ["model", "fold"], exp_link))
+    for fold in range(3):
+        append_metrics(scores.filter(F.col("fold") == fold), path)
+    return spark.read.parquet(path).select("model", "fold", *codes.METRICS)
+
+
 @query()
 def last_order_per_customer(spark, d):
     orders = m.load(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority")
@@ -772,6 +825,21 @@ def linear_fold_predictions(spark, d):
     return predictions
 
 
+@query(5)
+def simulated_fold_predictions(spark, d):
+    """Simulated trajectories from a CSV file with a declared schema: observed rows, three folds, forecasts by a linear model."""
+    path = f"{shared_folder(spark)}/simulated-{uuid.uuid4().hex}"
+    rows = cohort.next_observed(_simulated(spark, d).withColumns({
+        "glucose_t": F.col("glucose_t_obs") + F.col("id") % 7, "dextrose_t": (F.col("id") % 5).cast("double"),
+    }))
+    rows = rows.withColumns({c: F.col(c).cast("double") for c in ("n", "msk", "msk0")})
+    numbered = add_row_id(rows, ["id", "t"]).select(*[f.name for f in schemas.SIMULATED])
+    write_csv(numbered, path)
+    observed = cohort.only_observed(read_csv(spark, path, schemas.SIMULATED))
+    predictions, _ = run_folds(observed, load_roles(dataset="simulation_5000"), "LinearModel", 3)
+    return predictions
+
+
 @query(4)
 def linear_sweep(spark, d):
     """Errors of the linear model over sets of inputs, tasks (mean only, too) and numbers of folds."""
