@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,12 @@ class Tokenizer:
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.pieces, self.most = _Pieces(self, most), most
+        # all tokens' bytes end to end, and where each begins; an id without a token has no bytes
+        size = max(self.bytes_of) + 1
+        widths = np.zeros(size, np.int64)
+        widths[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
+        self.widths, self.starts = widths, np.cumsum(widths) - widths
+        self.data = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
@@ -120,6 +127,27 @@ class Tokenizer:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all texts end to end, and where each text ends; text k has the ids up to `ends[k]`.
+
+        Every byte's place in the vocabulary's bytes is the place before it plus one, except where a token begins, so the
+        places are one running sum.
+        """
+        width = self.widths[ids]
+        if not width.all():  # ids without a token have no bytes
+            kept = width > 0
+            ends = np.concatenate([[0], np.cumsum(kept)])[ends]
+            ids, width = ids[kept], width[kept]
+        after = np.cumsum(width)
+        step = np.ones(int(after[-1]) if len(after) else 0, np.int32)
+        if len(ids):
+            first = self.starts[ids]
+            step[0] = first[0]
+            step[after[:-1]] = first[1:] - (first[:-1] + width[:-1] - 1)
+        upto = np.concatenate([[0], after])
+        return self.data[np.cumsum(step, dtype=np.int32)], upto[ends]
+
+
 class _Pieces(dict):
     """Piece -> its ids as packed 32-bit numbers; emptied when it holds more than a bounded number of pieces."""
 
@@ -190,12 +218,24 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 lists = part.column(1)
-                texts = [tokenizer.decode(lists[i].values.to_pylist() if lists[i].is_valid else []) for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+                data, ends = tokenizer.decode_all(lists.flatten().to_numpy(), np.cumsum(sizes))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, _texts(data, ends)], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
+def _texts(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Texts that lie end to end; where one isn't UTF-8 its broken characters become replacement characters."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    texts = pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+    try:
+        texts.validate(full=True)
+        return texts
+    except pa.ArrowInvalid:
+        return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets, ends)], pa.string())
+
+
 def digest(decoded: DataFrame) -> DataFrame:
     return decoded.select(
         "doc_id",

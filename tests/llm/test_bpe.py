@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -55,3 +56,17 @@ def test_split_characters_decode_to_replacements(spark):
     half = own.encode("日").tolist()[:1]
     df = spark.createDataFrame([(1, half), (2, None)], "doc_id long, ids array<int>")
     assert [r.text for r in bpe.decode(df, tokenizer_path()).orderBy("doc_id").collect()] == ["�", ""]
+
+
+def test_batches_decode_as_single_texts(library):
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        own = bpe.Tokenizer(f.read())
+    rnd = random.Random(8)
+    texts = [*ODD, "", ""] + ["".join(rnd.choice("ab é日💩\n") for _ in range(rnd.randint(0, 40))) for _ in range(200)]
+    rows = [own.encode(t).tolist() for t in texts] + [[rnd.randrange(50257) for _ in range(rnd.randint(0, 30))] for _ in range(200)]
+    ids, ends = np.array([i for r in rows for i in r], np.int32), np.cumsum([len(r) for r in rows])
+    got = bpe._texts(*own.decode_all(ids, ends)).to_pylist()
+    assert got == [library.decode(r, skip_special_tokens=False) for r in rows]
+    whole = bpe._texts(*own.decode_all(*[np.array(x) for x in (sum(rows[:4], []), [len(sum(rows[: k + 1], [])) for k in range(4)])])).to_pylist()
+    assert whole == texts[:4]
+    assert bpe._texts(*own.decode_all(np.array([], np.int32), np.array([0, 0]))).to_pylist() == ["", ""]
