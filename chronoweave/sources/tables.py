@@ -43,7 +43,9 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | No
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header; times keep their microseconds."""
+    times = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    df.write.mode(mode).options(header=True, **times).csv(path)
 
 
 def write_rows_csv(df: DataFrame, path: str, order: list[str], name: str = "rn") -> None:
