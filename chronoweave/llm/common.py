@@ -23,6 +23,19 @@ def doc_key(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(key).cast("long").alias("doc_id"), utf8(F.col(text)).alias("text"))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, by place, so that no name of theirs can clash; see `from_row`."""
+    return F.struct(*[F.col(_quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+
+
+def from_row(row: str, columns: list[str]) -> list[Column]:
+    return [F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(columns)]
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def utf8(text: Column) -> Column:
     return F.coalesce(text.cast("binary"), F.lit(b""))
 

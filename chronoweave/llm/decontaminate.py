@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, doc_key
+from .common import LOWER, doc_key, utf8, whole_row
 
 K1, B = 1.2, 0.75
 BLOCK = 4
@@ -209,11 +210,12 @@ def index_of(items: DataFrame) -> Index:
     return Index.build([(-1 if r.item_id is None else r.item_id, bytes(r.text)) for r in narrow.collect()])
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, question: float = 0.6, answer: float = 0.6) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, question: float = 0.6, answer: float = 0.6, rows: bool = False) -> DataFrame:
     """One row per row of `docs`: doc_id, n_retrieved, n_verified, items (ids of verified items, ascending), contaminated.
 
     Every window of every whole text is a query. NULL and empty texts, and an empty benchmark, retrieve nothing. Repeated rows are
-    searched each; a NULL doc_id is carried through.
+    searched each; a NULL doc_id is carried through. With `rows` each result has its row beside it as the struct `row` (see
+    `common.from_row`).
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(index_of(items))
@@ -235,9 +237,14 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, question: f
                                 good.add(item)
                 retrieved.append(len(hits))
                 right.append(sorted({index.ids[i] for i in good}))
+            found = [pa.array(retrieved, pa.int64()), pa.array([len(x) for x in right], pa.int64()), pa.array(right, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(retrieved, pa.int64()), pa.array([len(x) for x in right], pa.int64()), pa.array(right, pa.list_(pa.int64())), pa.array([bool(x) for x in right], pa.bool_())],
-                names=["doc_id", "n_retrieved", "n_verified", "items", "contaminated"],
+                [batch.column(0), *found, pa.array([bool(x) for x in right], pa.bool_()), *batch.columns[2:]],
+                names=["doc_id", "n_retrieved", "n_verified", "items", "contaminated", *["row"][: batch.num_columns - 2]],
             )
 
-    return doc_key(docs).mapInArrow(run, "doc_id long, n_retrieved long, n_verified long, items array<long>, contaminated boolean")
+    schema = "doc_id long, n_retrieved long, n_verified long, items array<long>, contaminated boolean"
+    if not rows:
+        return doc_key(docs).mapInArrow(run, schema)
+    beside = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"), whole_row(docs).alias("row"))
+    return beside.mapInArrow(run, T.StructType([*T.StructType.fromDDL(schema), beside.schema["row"]]))

@@ -12,8 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import doc_key
+from .common import doc_key, utf8, whole_row
 
 SYMBOLS = b"#*$%&|<>"  # fixed values
 WINDOW = 8
@@ -93,13 +95,15 @@ SCHEMA = (
 
 
 def rules(
-    docs: DataFrame, least_words: int = 6, most_covered: float = 0.4, longest: int = 40, longest_share: float = 0.25, columns=("doc_id", "text")
+    docs: DataFrame, least_words: int = 6, most_covered: float = 0.4, longest: int = 40, longest_share: float = 0.25, columns=("doc_id", "text"),
+    rows: bool = False,
 ) -> DataFrame:
     """One row per document with its counts and verdict.
 
     Beyond the base rule, a document fails when repeats of at least `least_words` words cover more than `most_covered` of it,
     or when one repeat has over `longest` words and over `longest_share` of all. NULL and empty texts have no words and fail.
-    Rows are judged one by one, so repeated rows and ids get equal verdicts; no rows give no rows.
+    Rows are judged one by one, so repeated rows and ids get equal verdicts; no rows give no rows. With `rows` each verdict has
+    its row beside it as the struct `row` (see `common.from_row`).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +114,12 @@ def rules(
                 failed = n < 20 or 100 * repeated > 30 * n
                 repetitive = covered > most_covered * n or (most > longest and most > longest_share * n)
                 out.append((key, n, chars, symbols, dup, repeated, failed, covered, most, not failed and not repetitive))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 10, [pa.int64()] * 6 + [pa.bool_(), pa.int64(), pa.int64(), pa.bool_()], strict=True)],
-                names=[f.split()[0] for f in SCHEMA.split(", ")],
-            )
-
-    return doc_key(docs, *columns).mapInArrow(run, SCHEMA)
+            kinds = [pa.int64()] * 6 + [pa.bool_(), pa.int64(), pa.int64(), pa.bool_()]
+            found = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 10, kinds, strict=True)]
+            names = [f.split()[0] for f in SCHEMA.split(", ")]
+            yield pa.RecordBatch.from_arrays([*found, *batch.columns[2:]], names=[*names, *["row"][: batch.num_columns - 2]])
+
+    if not rows:
+        return doc_key(docs, *columns).mapInArrow(run, SCHEMA)
+    beside = docs.select(F.col(columns[0]).cast("long").alias("doc_id"), utf8(F.col(columns[1])).alias("text"), whole_row(docs).alias("row"))
+    return beside.mapInArrow(run, T.StructType([*T.StructType.fromDDL(SCHEMA), beside.schema["row"]]))
