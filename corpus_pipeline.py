@@ -11,31 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import bpe, decontaminate, line_dedup, prefix_join, queries, repetition
-from chronoweave.llm.common import table
+from chronoweave.llm.common import from_row, table, whole_row
 from chronoweave.session import shared_folder
 
-KEY = "doc_id"
-
-
-def _where_doc(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of `docs` whose doc_id is among `ids` or not; a NULL doc_id is a value like others."""
-    found = ids.select(F.col(KEY).alias("found")).distinct()
-    return docs.join(found, docs[KEY].eqNullSafe(found["found"]), how)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules reject go."""
-    return _where_doc(docs, repetition.rules(docs).where("not kept"), "left_anti")
+    """Documents that the repetition rules reject go, row by row: another row's id or text doesn't matter."""
+    return repetition.rules(docs, rows=True).where("kept").select(*from_row("row", docs.columns))
 
 
 def line(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents hold stay in one; a document that loses all its words that way goes."""
-    cleaned = line_dedup.build(docs).clean(docs, carry=[c for c in docs.columns if c not in (KEY, "text")])
+    keyed = docs.select("doc_id", "text", whole_row(docs).alias("row"))
+    cleaned = line_dedup.build(keyed).clean(keyed, carry=["row"])
     some_left = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    out = cleaned.withColumn("text", F.col("text").cast("string")).where(some_left)
+    left = cleaned.withColumn("text", F.col("text").cast("string")).where(some_left)
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast("long")
+    rows = dict(zip(docs.columns, from_row("row", docs.columns)))
+    return left.select(*[F.when(F.col("n_dropped") > 0, new[c]).otherwise(F.col(f"row.c{i}")).alias(c) if c in new else rows[c] for i, c in enumerate(docs.columns)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item, question and answer, go."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    return _where_doc(docs, found, "left_anti")
+    """Documents that hold a test item, question and answer, go, row by row."""
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), rows=True)
+    return found.where("not contaminated").select(*from_row("row", docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
