@@ -9,7 +9,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from chronoweave.operators.splits import HALO, PART, Splits, same_keys, splits_for
+from chronoweave.operators.splits import HALO, PART, Splits, row_hash, same_keys, splits_for
 from chronoweave.session import pin
 
 
@@ -169,8 +169,7 @@ def add_row_id(df: DataFrame, order: list[str], name: str = "rn", start: int = 0
     order, too. The laid-out rows are stored once, then each partition's rows get the sizes of the partitions before it
     added.
     """
-    hashed = [f.name for f in df.schema if "map" not in f.dataType.simpleString()]  # maps can't be hashed
-    along = [*[F.col(c).asc_nulls_first() for c in order], F.xxhash64(*[F.col(f"`{c}`") for c in hashed]).asc()]
+    along = [*[F.col(c).asc_nulls_first() for c in order], row_hash(df).asc()]
     laid = pin(
         df.repartitionByRange(*along)
         .sortWithinPartitions(*along)

@@ -37,6 +37,12 @@ def position(df: DataFrame, clock: str) -> Column:
     return F.col(clock).cast("double")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, to order rows that nothing else does; maps, which can't be hashed, are left out."""
+    hashed = [f.name.replace("`", "``") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in hashed])
+
+
 def same_keys(left: list[Column], right: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, (x.eqNullSafe(y) for x, y in zip(left, right)))
 
@@ -91,8 +97,7 @@ class Splits:
         spaced = df.withColumn(PART, F.col(PART) * SUBPARTS)
         thin = spaced.join(thick, match, "left_anti")
         held = [*names, "_thick_x"]
-        last = F.xxhash64(*[F.col(c) for c in df.columns])
-        along = [*[F.col(c).asc_nulls_first() for c in held], *[c.asc_nulls_first() for c in order], last.asc()]
+        along = [*[F.col(c).asc_nulls_first() for c in held], *[c.asc_nulls_first() for c in order], row_hash(df).asc()]
         laid = pin(
             spaced.join(thick, match)
             .repartitionByRange(*along)

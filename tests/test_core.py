@@ -172,3 +172,10 @@ def test_pin_reads_back_the_same(spark):
     back = pin(df)
     assert back.dtypes == df.dtypes
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_row_id_splits_rows_of_one_order(spark):
+    df = spark.range(2000).selectExpr("1 as a", "id as b", "map('k', id) as m", "id as `c.d`").repartition(4)
+    out = add_row_id(df, ["a"])
+    assert sorted(r.rn for r in out.select("rn").collect()) == list(range(2000))
+    assert out.columns == ["a", "b", "m", "c.d", "rn"]
