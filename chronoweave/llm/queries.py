@@ -7,8 +7,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.session import pin
-
 from . import (
     bpe, compact_windows, decontaminate, fill_middle, line_dedup, packing, prefix_join, repetition, run_index, secret_scan, slots, splitters, whitening,
 )
@@ -61,8 +59,7 @@ def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards of token ids and reads them back: one row per sequence with its slot, shard and the checksum of its ids."""
-    encoded = pin(bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path()))
-    layout = slots.materialise(encoded, ids="ids")
+    layout = slots.materialise(table(spark, sf_dir, "documents"), vocabulary_file=tokenizer_path())
     n_ids = (F.octet_length("ids") * layout.length / layout.stride).cast("long")
     return slots.read(spark, layout).select("slot", "shard", n_ids.alias("n_ids"), F.crc32("ids").alias("ids_crc32"))
 

@@ -9,6 +9,7 @@ lies at byte i * stride, so a reader seeks to any slot and goes on from there.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import uuid
 from collections.abc import Iterator
@@ -17,14 +18,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.session import shared_folder
+from chronoweave.session import pin, shared_folder
 
 from .common import doc_key, groups_of_bytes, mix
+from .packing import encoder, vocabulary
 
 END = 255
 PIECE = 8 << 20
@@ -99,6 +101,19 @@ def groups_of_ids(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tupl
         yield None, lists
 
 
+def groups_of_encoded(batches: Iterator[pa.RecordBatch], most: int, name: str, table: tuple) -> Iterator[tuple[None, list[np.ndarray]]]:
+    """The ids of texts, in pieces of about `most` bytes of text; one encoder per worker process, for its next tasks too."""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = encoder(table)
+    encode = _encoders[name]
+    for _, texts in groups_of_bytes(batches, most):
+        yield None, [encode(t.decode("utf-8", "replace")) for t in texts]
+
+
+_encoders: dict[str, object] = {}
+
+
 def _stream(texts: list, dtype: str) -> np.ndarray:
     if dtype == "<u1":
         return np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
@@ -106,59 +121,88 @@ def _stream(texts: list, dtype: str) -> np.ndarray:
     return np.concatenate([x for t in texts for x in (t.astype(dtype), end)])
 
 
-def materialise(docs: DataFrame, length: int = 1024, per_shard: int = 8192, key: int = 42, folder: str | None = None, ids: str | None = None) -> Layout:
-    """Write every text of `docs` (a stored table) into shards under `folder`; a task takes one shard at a time.
+def _dtype(greatest: int) -> str:
+    return "<u2" if greatest < 2**16 - 1 else "<u4"
+
+
+def streams(docs: DataFrame, length: int, ids: str | None = None, vocabulary_file: str | None = None) -> DataFrame:
+    """part, first, n, most, data: the packed stream of about 8 MB of input each, as a stored table.
+
+    A piece holds `n` sequences of `length`; `first` is the number of sequences that its task `part` packed before it, `most` its
+    greatest id. A piece has the narrowest numbers that hold its ids, whatever other pieces need.
+    """
+    if vocabulary_file:
+        with open(vocabulary_file, encoding="utf-8") as f:
+            content = f.read()
+        name = hashlib.sha256(content.encode()).hexdigest()
+        shared = docs.sparkSession.sparkContext.broadcast(vocabulary(content))  # a vocabulary has a fixed size
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done, compress = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=6).compress
+        if vocabulary_file:
+            groups = groups_of_encoded(batches, PIECE, name, shared.value)
+        else:
+            groups = (groups_of_ids if ids else groups_of_bytes)(batches, PIECE)
+        for _, texts in groups:
+            most, dtype = 0, "<u1"
+            if ids or vocabulary_file:
+                held = [t for t in texts if len(t)]
+                least, most = min((int(t.min()) for t in held), default=0), max((int(t.max()) for t in held), default=0)
+                if least < 0:
+                    raise ValueError(f"{least} is no id")
+                dtype = _dtype(most)
+            stream = _stream(texts, dtype)
+            n = _sequences(len(stream), length)
+            row = [pa.array([x], pa.int64()) for x in (part, done, n, most)]
+            yield pa.RecordBatch.from_arrays([*row, pa.array([compress(stream.tobytes())], pa.binary())], names=["part", "first", "n", "most", "data"])
+            done += n
 
-    `ids` names a column of token ids (array<int>), as bpe.encode makes; without it the bytes of `text` are written. Negative ids
-    and NULLs among the ids of a text are refused.
+    source = docs.select(F.col(ids).cast("array<int>").alias("ids")) if ids else doc_key(docs)
+    return pin(source.mapInArrow(store, "part long, first long, n long, most long, data binary"))
 
-    Numbers come from two passes over the same partitions: the first counts the sequences of each piece of about 8 MB, the
-    second looks its pieces up by partition and place. Should the second pass meet other rows than the first (an input that isn't
-    stored can differ between runs), it fails and says so. What is sent around is one count per piece: input / 8 MB rows.
+
+def materialise(
+    docs: DataFrame, length: int = 1024, per_shard: int = 8192, key: int = 42, folder: str | None = None, ids: str | None = None, vocabulary_file: str | None = None
+) -> Layout:
+    """Write every text of `docs` into shards under `folder`; a task takes one shard at a time.
+
+    `ids` names a column of token ids (array<int>), as bpe.encode makes; `vocabulary_file` encodes `text` on the way instead; without
+    either the bytes of `text` are written. Negative ids and NULLs among the ids of a text are refused.
+
+    The input is read once. Its packed streams are stored, and sequences are numbered by the stored table: a piece's number
+    within its task lies beside it, and the tasks' own first numbers are running sums of their counts, one number for each
+    partition of the input, which is all that is sent around. So a task that runs again numbers its sequences alike.
     NULL and empty texts are a closing id; repeated rows and ids are written as often as they come; no rows make no shards.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for i, (_, t) in enumerate(groups(batches, PIECE)):
-            least, most = (min((int(x.min()) for x in t if len(x)), default=0), max((int(x.max()) for x in t if len(x)), default=0)) if ids else (0, 0)
-            if least < 0:
-                raise ValueError(f"{least} is no id")
-            rows.append((TaskContext.get().partitionId(), i, _print(t), _sequences(sum(map(len, t)) + len(t), length), most))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 5)], names=["part", "piece", "print", "n", "most"])
-
-    source, groups = (docs.select(F.col(ids).cast("array<int>").alias("ids")), groups_of_ids) if ids else (doc_key(docs), groups_of_bytes)
-    pieces = sorted(tuple(r) for r in source.mapInArrow(count, "part long, piece long, print long, n long, most long").collect())
-    at, base, greatest = 0, {}, 0
-    for part, piece, seen, n, most in pieces:
-        base[part, piece] = (at, seen)
-        at, greatest = at + n, max(greatest, most)
-    dtype = "<u1" if not ids else "<u2" if greatest < 2**16 - 1 else "<u4"
-    layout = Layout(folder, at, length, per_shard, key, dtype)
+    stored = streams(docs, length, ids, vocabulary_file)
+    parts = stored.groupBy("part").agg(F.sum("n").alias("n"), F.max("most").alias("most")).orderBy("part").collect()
+    total = sum(r.n for r in parts)
+    dtype = _dtype(max((r.most for r in parts), default=0)) if ids or vocabulary_file else "<u1"
+    layout = Layout(folder, total, length, per_shard, key, dtype)
     stride = layout.stride
-    bases, order = spark.sparkContext.broadcast(base), Permutation(at, key)
+    names = np.array([r.part for r in parts], np.int64)
+    begin = np.cumsum([0, *(r.n for r in parts)], dtype=np.int64)
+    offsets, order = spark.sparkContext.broadcast((names, begin)), Permutation(total, key)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, (_, texts) in enumerate(groups(batches, PIECE)):
-            first, seen = bases.value.get((TaskContext.get().partitionId(), i), (0, None))
-            if seen != _print(texts):
-                raise ValueError("the input changed between two passes; store it as a table first")
-            stream = _stream(texts, dtype)
-            n = _sequences(len(stream), length)
-            cut = np.full(n * length, np.iinfo(dtype).max, dtype)
-            cut[: len(stream)] = stream
-            cut = cut.view(np.uint8).reshape(n, stride)
-            slots = order.slot(np.arange(first, first + n))
-            by = np.argsort(slots, kind="stable")
-            shards = slots[by] // per_shard
-            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), n]
-            names, data = [], []
-            for a, b in zip(edges, edges[1:]):
-                names.append(int(shards[a]))
-                data.append(_pack(slots[by[a:b]] % per_shard, cut[by[a:b]]))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(data, pa.binary())], names=["shard", "data"])
+        names, begin = offsets.value
+        for batch in batches:
+            for part, first, n, most, data in zip(*(batch.column(i) for i in range(5)), strict=True):
+                held = np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), "<u1" if dtype == "<u1" else _dtype(most.as_py()))
+                n, first = n.as_py(), first.as_py() + int(begin[np.searchsorted(names, part.as_py())])
+                cut = np.full(n * length, np.iinfo(dtype).max, dtype)
+                cut[: len(held)] = held
+                if held.dtype != dtype:  # the closing number of narrow pieces is no id there
+                    cut[: len(held)][held == np.iinfo(held.dtype).max] = np.iinfo(dtype).max
+                cut = cut.view(np.uint8).reshape(n, stride)
+                slots = order.slot(np.arange(first, first + n))
+                by = np.argsort(slots, kind="stable")
+                shards = slots[by] // per_shard
+                edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), n]
+                blobs = [_pack(slots[by[a:b]] % per_shard, cut[by[a:b]]) for a, b in zip(edges, edges[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(shards[edges[:-1]], pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "data"])
 
     def gather(group: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
         held = min(per_shard, order.n - group[0] * per_shard)
@@ -168,22 +212,17 @@ def materialise(docs: DataFrame, length: int = 1024, per_shard: int = 8192, key:
             out[places] = held_ids
         return pd.DataFrame({"shard": [group[0]], "content": [out.tobytes()]})
 
-    blobs = source.mapInArrow(scatter, "shard long, data binary")
+    blobs = stored.mapInArrow(scatter, "shard long, data binary")
     files = blobs.groupBy("shard").applyInPandas(gather, "shard long, content binary")
     # The text writer puts the bytes into the file as they are and one newline after the last sequence.
     files.select("shard", F.col("content").cast("string").alias("value")).write.partitionBy("shard").option("compression", "none").mode("overwrite").text(folder)
     return layout
 
 
-def _print(texts: list) -> int:
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts)).tobytes()
-    return xxhash.xxh3_64_intdigest(lengths + b"".join(bytes(t[:16]) for t in texts)) >> 1
-
-
 def _pack(places: np.ndarray, ids: np.ndarray) -> bytes:
     out = io.BytesIO()
     batch = pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(ids.shape[1]), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ids))])], names=["place", "ids"])
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
         w.write_batch(batch)
     return out.getvalue()
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweave.llm import bpe, queries, slots
 
@@ -72,3 +73,26 @@ def test_the_query_writes_the_tokenizers_ids(spark):
     encoded = bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), queries.tokenizer_path())
     n_ids = sum(len(r.ids) + 1 for r in encoded.collect())
     assert {r.n_ids for r in rows} == {length} and n_ids <= length * len(rows) < n_ids + length * 16
+
+
+@pytest.mark.parametrize("docs", ["edge_docs", "some_docs", "no_docs"])
+def test_ids_made_on_the_way_are_those_of_the_encoding_operator(spark, docs, request, tmp_path):
+    docs, path = request.getfixturevalue(docs), queries.tokenizer_path()
+    shuffled = docs.repartition(5, F.rand(3))  # the rows needn't come in one order twice
+    layout = slots.materialise(shuffled, length=32, per_shard=16, key=3, vocabulary_file=path)
+    rows = {r.slot: np.frombuffer(bytes(r.ids), layout.dtype) for r in slots.read(spark, layout).collect()}
+    assert sorted(rows) == list(range(layout.sequences))
+    order = slots.Permutation(layout.sequences, 3).slot(np.arange(layout.sequences)).tolist()
+    texts, end = [[]], np.iinfo(layout.dtype).max
+    for i in np.concatenate([rows[s] for s in order]).tolist() if order else []:
+        texts.append([]) if i == end else texts[-1].append(i)
+    assert sorted(x for x in texts if x) == sorted(list(r.ids) for r in bpe.encode(docs, path).collect() if r.ids)
+
+
+def test_wide_and_narrow_pieces_meet_in_one_layout(spark):
+    lists = [[i, 7] for i in range(6)] + [[70_000, 65_535]]
+    df = spark.createDataFrame(list(enumerate(lists)), "doc_id long, ids array<int>").repartition(7, "doc_id")
+    layout = slots.materialise(df, length=2, per_shard=3, ids="ids")
+    flat = np.concatenate([np.frombuffer(bytes(r.ids), "<u4") for r in slots.read(spark, layout).collect()]).tolist()
+    end = 2**32 - 1
+    assert layout.dtype == "<u4" and sorted(x for x in flat if x != end) == sorted(x for t in lists for x in t)
