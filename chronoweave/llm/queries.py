@@ -49,7 +49,8 @@ def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = secret_scan.ratios(secret_scan.labelled_sample(docs))
+    fit, _ = secret_scan.held_out(secret_scan.labelled_sample(docs))
+    model = secret_scan.ratios(fit)
     return secret_scan.digest(secret_scan.scan(docs, model))
 
 

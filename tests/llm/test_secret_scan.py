@@ -70,3 +70,39 @@ def test_added_spans_have_code_point_positions_and_leave_base_spans(spark):
 def test_plan_has_no_python(some_docs):
     plan = s.digest(s.scan(some_docs, [0.0] * (len(s.ALPHABET) + 1) ** 2))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+NAMES = [
+    "order-2024-00012345-confirmation", "sha1/build-2023-11-05-release", "MAX_RETRY_COUNT_1234567890", "1234567890123456789012", "4952935900253052",
+    "=" * 40, "-" * 40, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "keitstlichschenverpf", "customer_address_line_2024", "internationalisation",
+]
+KEYS = ["q8Zx0LmP4vTr7WkY2sNb6Hd", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "Zm9vYmFyQmF6UXV4+9/xK2LpWq", "7KQ2MZX9P4HV8TNB3WJR", "x7f3k9q2m5z8w1p4t6"]
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    fit, aside = s.held_out(s.labelled_sample(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), random=5000))
+    return s.ratios(fit), aside
+
+
+def test_models_hold_on_values_that_were_held_out(spark, trained):
+    model, aside = trained
+    r = s.accuracy(aside, model).first()
+    assert r.n_secret > 500 and r.n - r.n_secret > 500
+    assert r.precision >= 0.99 and r.recall >= 0.99
+
+
+def test_models_know_names_with_digits_from_keys(spark, trained):
+    rows = spark.createDataFrame(list(enumerate(NAMES + KEYS)), "doc_id long, text string")
+    found = {r.doc_id: "random" in r.spans for r in s.digest(s.scan(rows, trained[0])).collect()}
+    assert [x for i, x in enumerate(NAMES) if found[i]] == []
+    assert [x for i, x in enumerate(KEYS) if not found[len(NAMES) + i]] == []
+
+
+def test_places_of_very_many_matches(spark):
+    rnd = random.Random(3)
+    text = "é ".join("".join(rnd.choice("abcXYZ019") for _ in range(rnd.randrange(10, 24))) for _ in range(3 * s.BLOCK + 5))
+    spark_rows = spark.createDataFrame([(1, text), (2, "z" * 16), (3, None)], "doc_id long, text string")
+    got = spark_rows.select("doc_id", s.found(s.F.col("text"), s.LONG_TOKEN).alias("x")).collect()
+    expected = [(m.start(), m.end(), m[0]) for m in re.finditer(s.LONG_TOKEN, text)]
+    assert len(expected) > s.BLOCK and {r.doc_id: [tuple(x) for x in r.x] for r in got} == {1: expected, 2: [(0, 16, "z" * 16)], 3: []}
