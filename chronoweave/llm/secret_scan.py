@@ -186,15 +186,22 @@ def ratios(sample: DataFrame, smoothing: float = 0.5) -> list[float]:
     return [yes[a][b] - no[a][b] for a in range(size) for b in range(size)]
 
 
-def log_ratio(value: Column, model: list[float]) -> Column:
+def _weights(model: list[float]) -> Column:
+    return F.expr("array(" + ",".join(f"{float(x)!r}D" for x in model) + ")")
+
+
+def log_ratio(value: Column, model: list[float] | Column) -> Column:
     """Mean log-likelihood ratio per step; above 0 the model of random strings explains `value` better."""
     size = len(ALPHABET) + 1
-    weights = F.expr("array(" + ",".join(f"{float(x)!r}D" for x in model) + ")")  # folded to one literal when the plan is made
-    codes = F.transform(F.split(value, ""), _code)
-    steps = F.transform(
-        F.sequence(F.lit(1), F.size(codes) - 1), lambda i: F.element_at(weights, F.element_at(codes, i) * size + F.element_at(codes, i + 1) + 1)
-    )
-    return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(codes) - 1, F.lit(1))
+
+    def scored(weights: Column) -> Column:
+        codes = F.transform(F.split(value, ""), _code)
+        steps = F.transform(
+            F.sequence(F.lit(1), F.size(codes) - 1), lambda i: F.element_at(weights, F.element_at(codes, i) * size + F.element_at(codes, i + 1) + 1)
+        )
+        return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(codes) - 1, F.lit(1))
+
+    return scored(model) if isinstance(model, Column) else F.element_at(F.transform(F.array(_weights(model)), scored), 1)
 
 
 def scan(docs: DataFrame, model: list[float], threshold: float = 1.0) -> DataFrame:
@@ -214,7 +221,8 @@ def scan(docs: DataFrame, model: list[float], threshold: float = 1.0) -> DataFra
     fixed = F.concat(*[_of_kind(F.col(k), n) for n, k in enumerate(KINDS[:3])])
     known = base.withColumn("base", F.array_sort(fixed, _by_start))
     # The models come first: few tokens are left to be held against the base spans.
-    random = F.filter("tokens", lambda t: log_ratio(t["value"], model) > threshold)
+    scored = F.transform(F.array(_weights(model)), lambda w: F.filter("tokens", lambda t: log_ratio(t["value"], w) > threshold))
+    random = F.when(F.size("tokens") > 0, F.element_at(scored, 1)).otherwise(F.col("tokens"))  # the weights are laid out once a row
     clear = F.filter(random, lambda t: ~F.exists("base", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
     more = _of_kind(clear, 3)
     return known.withColumn("found", F.array_sort(F.concat("base", more), _by_start)).drop("assign", "access", "hex", "tokens")
