@@ -23,6 +23,7 @@ from .common import mix
 from .shared_tokens import shared_tokens, with_class
 
 LENGTH, GRAM = 50, 24
+WIDTH = LENGTH - GRAM + 1
 BUCKET = 1 << 20
 MOST_SEGMENTS = 8000
 
@@ -32,42 +33,58 @@ def gram_hashes(text: bytes) -> np.ndarray:
     n = len(text) - GRAM + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    eight = np.frombuffer(text, np.uint8).astype(np.uint64)
-    for width in (1, 2, 4):
-        eight = eight[:-width] | (eight[width:] << np.uint64(8 * width))
-    return mix(eight[:n] ^ mix(eight[8 : n + 8] ^ mix(eight[16 : n + 16] + np.uint64(1))))
+    eight = _words_at(np.frombuffer(text, np.uint8))
+    h = np.zeros(n, np.uint64)
+    for at, odd in ((0, 0x9E3779B97F4A7C15), (8, 0xD6E8FEB86659FD93), (16, 0xFF51AFD7ED558CCD)):
+        h += eight[at : at + n]
+        h *= np.uint64(odd)
+        h ^= h >> np.uint64(32)
+    return h * np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def _words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as a number."""
+    return np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (len(data) - 7,), (1,))
 
 
 def minimizers(h: np.ndarray) -> np.ndarray:
-    """For each 50-byte string, the place of its least gram; of equal ones the first."""
-    width = LENGTH - GRAM + 1
-    if len(h) < width:
-        return np.empty(0, np.int64)
-    least, at, step = h, np.arange(len(h)), 1
-    while step < width:
-        shift = min(step, width - step)
-        first = least[:-shift] <= least[shift:]
-        least, at = np.where(first, least[:-shift], least[shift:]), np.where(first, at[:-shift], at[shift:])
+    """For each 50-byte string, the least hash among its grams."""
+    if len(h) < WIDTH:
+        return h[:0]
+    step = 1
+    while step < WIDTH:
+        shift = min(step, WIDTH - step)
+        h = np.minimum(h[:-shift], h[shift:])
         step += shift
-    return at
+    return h
+
+
+def _runs(least: np.ndarray) -> np.ndarray:
+    """Where runs of strings with one minimizer begin, and the end of the last; longer runs are cut after each `WIDTH` strings."""
+    edges = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1], [True]]))
+    parts = -(-np.diff(edges) // WIDTH)
+    if parts.max() > 1:
+        part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        edges = np.append(np.repeat(edges[:-1], parts) + WIDTH * part, len(least))
+    return edges
 
 
 def anchors(text: bytes) -> np.ndarray:
-    h = gram_hashes(text)
-    return np.unique(h[np.unique(minimizers(h))])
+    """The minimizers, as tokens: least hashes are small numbers, so they are spread over all again."""
+    least = minimizers(gram_hashes(text))
+    return np.unique(mix(least[_runs(least)[:-1]])) if len(least) else least
 
 
 def segments(text: bytes, tokens: np.ndarray, shift: int) -> Iterator[tuple[int, int, bytes]]:
     """(minimizer, first byte, bytes) of the runs of strings whose minimizer is among the shared `tokens`."""
-    h = gram_hashes(text)
-    at = minimizers(h)
-    if not len(at):
+    least = minimizers(gram_hashes(text))
+    if not len(least):
         return
-    edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
-    names = h[at[edges[:-1]]] >> np.uint64(shift)
-    for k in np.flatnonzero(np.isin(names, tokens)).tolist():
-        a, b = int(edges[k]), int(edges[k + 1])
-        yield int(names[k]), a, text[a : b - 1 + LENGTH]
+    edges = _runs(least)
+    names = mix(least[edges[:-1]]) >> np.uint64(shift)
+    some = np.flatnonzero(np.isin(names, tokens))
+    for name, a, b in zip(names[some].tolist(), edges[some].tolist(), edges[some + 1].tolist(), strict=True):
+        yield name, a, text[a : b - 1 + LENGTH]
 
 
 class RunIndex:
@@ -76,17 +93,13 @@ class RunIndex:
     def __init__(self, texts: list[bytes], owners: np.ndarray):
         self.size = np.array([len(t) for t in texts])
         self.row = int(self.size.max()) + 8 * 11
-        flat = np.zeros(len(texts) * self.row + 8 * 11, np.uint8)
-        for i, t in enumerate(texts):
-            flat[i * self.row : i * self.row + len(t)] = np.frombuffer(t, np.uint8)
-        self.flat = flat
+        flat = np.frombuffer(b"".join(t.ljust(self.row, b"\0") for t in texts) + bytes(8 * 11), np.uint8)
+        self.flat, self.eight = flat, np.ascontiguousarray(_words_at(flat))
         text = np.repeat(np.arange(len(texts)), self.size + 1)
         offset = np.arange(len(text)) - np.repeat(np.cumsum(self.size + 1) - self.size - 1, self.size + 1)
         place, left = text * self.row + offset, self.size[text] - offset
-        eight = np.lib.stride_tricks.sliding_window_view(flat, 8)
-        words = [eight[place + 8 * k].copy().view(">u8").reshape(-1).astype(np.uint64) for k in range(-(-int(self.size.max()) // 8))]
-        order = np.lexsort((text, left, *words[::-1]))
-        self._least(words, left, text, order, owners)
+        order, ranks = self._ordered(place, left)
+        self._least(ranks, place, left, text, order, owners)
         # The transform: the byte before each suffix, 256 before a text's first byte.
         before = np.where(offset > 0, flat[np.maximum(place - 1, 0)].astype(np.int64), 256)[order]
         heads = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
@@ -103,14 +116,30 @@ class RunIndex:
         self.less = len(texts) + np.concatenate([[0], np.cumsum(counts)])[:256].astype(np.int64)
         self.keys = self.symbol[by] * len(heads) + by  # runs by symbol, then place
 
-    def _least(self, words, left, text, order, owners) -> None:
+    def _ordered(self, place: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """The suffixes in order, by doubling, and by width the rank of the bytes from every place on; of equal ones the first text's."""
+        ranks, width, key = {}, 8, self.eight[place].byteswap()
+        while True:
+            by = np.argsort(key)
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.cumsum(np.concatenate([[0], key[by][1:] != key[by][:-1]]))
+            if width >= self.size.max():
+                return np.argsort(rank * (int(left.max()) + 1) + left, kind="stable"), ranks
+            ranks[width] = np.zeros(len(self.flat), np.int64)  # after a text's end as at its end, where no bytes are left
+            ranks[width][place] = rank
+            key = rank * (len(place) + 1) + np.where(left > width, ranks[width][np.minimum(place + width, len(self.flat) - 1)], 0)
+            width *= 2
+
+    def _least(self, ranks, place, left, text, order, owners) -> None:
         whole = left[order] >= LENGTH
-        same = whole[1:] & whole[:-1]
-        for w in words[: LENGTH // 8]:
-            same &= w[order][1:] == w[order][:-1]
-        rest = np.uint64(8 * (8 - LENGTH % 8))
-        if len(words) > LENGTH // 8:
-            last = words[LENGTH // 8][order] >> rest
+        same, at, done = whole[1:] & whole[:-1], place[order], 0
+        for width in sorted(ranks, reverse=True):
+            while LENGTH - done >= width:
+                rank = ranks[width][np.where(whole, at + done, at)]
+                same &= rank[1:] == rank[:-1]
+                done += width
+        if done < LENGTH:
+            last = self.eight[np.where(whole, at + done, at)] << np.uint64(8 * (8 - LENGTH + done))
             same &= last[1:] == last[:-1]
         starts = np.flatnonzero(np.concatenate([[True], ~same]))
         least = np.minimum.reduceat(owners[text[order]], starts)
@@ -122,18 +151,23 @@ class RunIndex:
     def _common(self, pattern: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many bytes from `place` to its text's end equal the bytes of the pattern, up to `most`."""
         most = np.minimum(most, self.size[place // self.row] - place % self.row)
-        width = int(most.max()) if len(most) else 0
-        if not width:
-            return np.zeros(len(most), np.int64)
-        span = np.arange(width)
-        equal = self.flat[pattern[:, None] + span] == self.flat[place[:, None] + span]
-        return np.minimum(np.where(equal.all(1), width, np.argmin(equal, 1)), most)
+        length = np.zeros(len(most), np.int64)
+        on = np.flatnonzero(most > 0)
+        while len(on):
+            other = self.eight[pattern[on] + length[on]] ^ self.eight[place[on] + length[on]]
+            same = other == 0
+            lowest = np.where(same, np.uint64(1), other & (~other + np.uint64(1)))
+            length[on] += np.where(same, 8, np.log2(lowest.astype(np.float64)).astype(np.int64) // 8)
+            on = on[same & (length[on] < most[on])]
+        return np.minimum(length, most)
 
     def statistics(self) -> list[np.ndarray]:
         """For each text and each of its places, the least owner of the LENGTH bytes from there on (those of the longest match)."""
         n, runs = len(self.size), len(self.heads)
         rows, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        out = [np.full(max(0, s - LENGTH + 1), -1, np.int64) for s in self.size]
+        strings = np.maximum(self.size - LENGTH + 1, 0)
+        ends = np.cumsum(strings)
+        out, last = np.full(ends[-1], -1, np.int64), ends - strings + self.size
         for back in range(1, int(self.size.max()) + 1):
             on = np.flatnonzero(self.size >= back)
             place = on * self.row + self.size[on] - back
@@ -155,9 +189,9 @@ class RunIndex:
                 run[jump] = np.where(higher, up, down)
             rows[on] = self._step(rows[on], run)
             length[on] += 1
-            for i in on[length[on] >= LENGTH].tolist():
-                out[i][self.size[i] - back] = self.least[rows[i]]
-        return out
+            long = on[length[on] >= LENGTH]
+            out[last[long] - back] = self.least[rows[long]]
+        return np.split(out, ends[:-1])
 
 
 def _owners(key: tuple, held: pa.Table) -> pa.Table:
@@ -233,13 +267,15 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for c, doc, start, own in zip(*(batch.column(i) for i in range(4)), strict=True):
-                early = np.flatnonzero(own.values.to_numpy() < doc.as_py())
-                edges = np.flatnonzero(np.concatenate([[True], np.diff(early) > 1, [True]]))
-                for a, b in zip(edges, edges[1:]):
-                    rows.append((c.as_py(), start.as_py() + int(early[a]), start.as_py() + int(early[b - 1]) + LENGTH))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [()] * 3)], names=["class", "a", "b"])
+            doc, start, own = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
+            n = own.value_lengths().to_numpy()
+            of = np.repeat(np.arange(len(n)), n)
+            early = np.flatnonzero(own.flatten().to_numpy() < doc[of])
+            at, of = early - (np.cumsum(n) - n)[of[early]], of[early]
+            edges = np.flatnonzero(np.concatenate([[True], (np.diff(early) > 1) | (np.diff(of) > 0), [True]])) if len(early) else early[:0]
+            a, b = edges[:-1], edges[1:] - 1
+            columns = [batch.column(0).take(pa.array(of[a])), pa.array(start[of[a]] + at[a]), pa.array(start[of[a]] + at[b] + LENGTH)]
+            yield pa.RecordBatch.from_arrays(columns, names=["class", "a", "b"])
 
     found = hits.select("class", "doc", "start", "owners").mapInArrow(spans, "class long, a long, b long")
     # As many spans as the text has segments.
@@ -253,7 +289,8 @@ def dedup(docs: DataFrame) -> DataFrame:
                     cuts = [(0, len(text))] if len(text) >= LENGTH else []
                 else:
                     cuts = [(s["a"], s["b"]) for s in held or []] if doc is not None else []
-                out.append((doc, len(text), *_cut(text, cuts)[1:], _cut(text, cuts)[0]))
+                kept, removed, runs = _cut(text, cuts)
+                out.append((doc, len(text), removed, runs, kept))
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 5, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "text"])
 

@@ -59,3 +59,18 @@ def test_index_agrees_with_the_definition():
                 first[t[i : i + 50]] = min(first.get(t[i : i + 50], 1000), int(o))
         found = run_index.RunIndex(texts, owners).statistics()
         assert [x.tolist() for x in found] == [[first[t[i : i + 50]] for i in range(len(t) - 49)] for t in texts]
+
+
+def test_tokens_are_dealt_evenly(rnd):
+    tokens = np.unique(np.concatenate([run_index.anchors(prose(rnd, 3000).encode()) for _ in range(20)]))
+    held = np.bincount((tokens >> np.uint64(60)).astype(np.int64), minlength=16)
+    assert held.max() < 1.3 * held.mean()  # the tasks that count them take ranges of one width
+
+
+def test_periodic_runs_are_cut_into_short_segments():
+    for text in (b"a" * 5000, b"ab" * 3000, bytes(4000)):
+        tokens = run_index.anchors(text)
+        found = list(run_index.segments(text, tokens, 0))
+        assert max(len(s) for _, _, s in found) <= run_index.LENGTH + run_index.WIDTH - 1
+        strings = {a + i for _, a, s in found for i in range(len(s) - run_index.LENGTH + 1)}
+        assert strings == set(range(len(text) - run_index.LENGTH + 1)) and all(text[a : a + len(s)] == s for _, a, s in found)
