@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.session import pin
+from chronoweave.session import pin, pin_measured
 
 from .common import mix
 from .shared_tokens import shared_tokens, with_class
@@ -195,30 +196,40 @@ class RunIndex:
 
 
 def _owners(key: tuple, held: pa.Table) -> pa.Table:
-    """The least document of every string of every segment in a bucket."""
-    texts = [t.as_py() for t in held.column("content")]
-    found = RunIndex(texts, held.column("least").to_numpy()).statistics()
+    """The least document of every string of the segments in a bucket, but of those that only their own document has."""
+    token, least, n = (held.column(c).to_numpy() for c in ("token", "least", "n"))
+    _, of, per = np.unique(token, return_inverse=True, return_counts=True)
+    # A segment alone with its minimizer needs no index: its least document has all its strings first.
+    alone = np.flatnonzero((per[of] == 1) & (n > 1))
+    many = np.flatnonzero(per[of] > 1)
+    content = held.column("content")
+    size = pc.binary_length(content).to_numpy()
+    found = [np.full(x - LENGTH + 1, y) for x, y in zip(size[alone].tolist(), least[alone].tolist(), strict=True)]
+    if len(many):
+        indexed = RunIndex(content.take(pa.array(many)).to_pylist(), least[many]).statistics()
+        some = [k for k, (own, x) in enumerate(zip(indexed, many.tolist(), strict=True)) if n[x] > 1 or own.min() < least[x]]
+        found += [indexed[k] for k in some]
+        many = many[some]
     ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
-    return pa.table({"token": held.column("token"), "name": held.column("name"), "owners": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))})
+    rows = held.select(["token", "name"]).take(pa.array(np.concatenate([alone, many])))
+    values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64), pa.int64())
+    return rows.append_column("owners", pa.ListArray.from_arrays(ends, values))
 
 
 def owners(parts: DataFrame) -> DataFrame:
     """(token, name, owners) of the segments that have a string which an earlier document may have too."""
-    held = pin(parts.groupBy("token", "content").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("name", F.xxhash64("content")))
-    per = held.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
-    # A segment alone with its minimizer needs no index: its least document has all its strings first.
-    alone = held.join(per.where("held = 1").select("token"), "token", "left_semi").where("n > 1")
-    own = alone.select("token", "name", F.array_repeat("least", F.octet_length("content") - LENGTH + 1).alias("owners"))
-    many = held.join(per.where(f"held > 1 and held <= {MOST_SEGMENTS}").select("token"), "token", "left_semi")
-    size = many.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    bucketed = many.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(size // BUCKET + 12)))
-    indexed = bucketed.select("bucket", "token", "name", "content", "least").groupBy("bucket").applyInArrow(_owners, "token long, name long, owners array<long>")
-    # A minimizer with very many segments would fill one task; its strings are dealt out one by one, equal ones summed up first.
-    hot = held.join(per.where(f"held > {MOST_SEGMENTS}").select("token"), "token", "left_semi")
+    held = parts.groupBy("token", "content").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("name", F.xxhash64("content"))
+    held, seen = pin_measured(held, size=F.sum(F.octet_length("content")))
+    # A minimizer with very many segments would fill one task. There are few such: at most one for each MOST_SEGMENTS segments.
+    often = pin(held.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where(f"held > {MOST_SEGMENTS}").select("token"))
+    bucketed = held.join(F.broadcast(often), "token", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit((seen.get("size") or 0) // BUCKET + 12)))
+    indexed = bucketed.select("bucket", "token", "name", "content", "least", "n").groupBy("bucket").applyInArrow(_owners, "token long, name long, owners array<long>")
+    # The strings of those are dealt out one by one, equal ones summed up first.
+    hot = held.join(F.broadcast(often), "token", "left_semi")
     strings = hot.select("token", "name", "least", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("content") - LENGTH + 1), lambda i: F.substring("content", i, F.lit(LENGTH)))).alias("at", "string"))
     first = strings.groupBy("string").agg(F.min("least").alias("owner"))
     back = strings.join(first, "string").groupBy("token", "name").agg(F.array_sort(F.collect_list(F.struct("at", "owner"))).alias("all"))
-    return own.unionByName(indexed).unionByName(back.select("token", "name", F.col("all")["owner"].alias("owners")))
+    return indexed.unionByName(back.select("token", "name", F.col("all")["owner"].alias("owners")))
 
 
 def _cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -260,10 +271,10 @@ def dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["class", "doc", "token", "start", "content"])
 
     texts = with_class(docs.where("doc_id is not null"))
-    one = texts.join(sets.withColumnRenamed("class", "of"), (F.col("class") == F.col("of")) & (F.col("doc_id") == F.col("least"))).dropDuplicates(["class"])
+    one = texts.join(sets.withColumnRenamed("class", "of"), (F.col("class") == F.col("of")) & (F.col("doc_id") == F.col("least"))).dropDuplicates(["class", "doc_id"])
     parts = pin(one.select("class", "least", "text", "tokens").mapInArrow(cut, "class long, doc long, token long, start long, content binary"))
     known = owners(parts.select("token", "doc", "content"))
-    hits = parts.select("class", "doc", "token", "start", F.xxhash64("content").alias("name")).join(known, ["token", "name"]).where(F.exists("owners", lambda o: o < F.col("doc")))
+    hits = parts.select("class", "doc", "token", "start", F.xxhash64("content").alias("name")).join(known, ["token", "name"]).where(F.array_min("owners") < F.col("doc"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
