@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from chronoweave.session import pin, pin_measured
 
 from .common import mix
-from .shared_tokens import shared_tokens, with_class
+from .shared_tokens import shared_tokens, unpacked, with_class
 
 LENGTH, GRAM = 50, 24
 WIDTH = LENGTH - GRAM + 1
@@ -264,13 +264,14 @@ def dedup(docs: DataFrame) -> DataFrame:
             rows = []
             for c, least, text, tokens in zip(*(batch.column(i) for i in range(4)), strict=True):
                 wanted = tokens.values.to_numpy().view(np.uint64)
-                rows += [(c.as_py(), least.as_py(), t, a, x) for t, a, x in segments(text.as_py(), wanted, shift)]
+                c, least = c.as_py(), least.as_py()
+                rows += [(c, least, t, a, x) for t, a, x in segments(unpacked(text.as_py()), wanted, shift)]
             kinds = [pa.int64()] * 4 + [pa.binary()]
             columns = list(zip(*rows)) if rows else [()] * 5
             columns[2] = np.array(columns[2], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["class", "doc", "token", "start", "content"])
 
-    texts = with_class(docs.where("doc_id is not null"))
+    texts = with_class(docs.where("doc_id is not null"), packed=True)
     one = texts.join(sets.withColumnRenamed("class", "of"), (F.col("class") == F.col("of")) & (F.col("doc_id") == F.col("least"))).dropDuplicates(["class", "doc_id"])
     parts = pin(one.select("class", "least", "text", "tokens").mapInArrow(cut, "class long, doc long, token long, start long, content binary"))
     known = owners(parts.select("token", "doc", "content"))
@@ -296,6 +297,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for doc, text, least, held in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                text = unpacked(text)
                 if doc is not None and least is not None and doc > least:
                     cuts = [(0, len(text))] if len(text) >= LENGTH else []
                 else:
@@ -305,5 +307,5 @@ def dedup(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 5, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "text"])
 
-    rows = with_class(docs).join(gone, "class", "left").select("doc_id", "text", "least", "spans")
+    rows = with_class(docs, packed=True).join(gone, "class", "left").select("doc_id", "text", "least", "spans")
     return rows.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, text binary")
