@@ -88,6 +88,14 @@ def segments(text: bytes, tokens: np.ndarray, shift: int) -> Iterator[tuple[int,
         yield name, a, text[a : b - 1 + LENGTH]
 
 
+def _sorted(key: np.ndarray) -> np.ndarray:
+    """The places of the keys (none negative) in order, equal ones as they come: by one sort of plain numbers that hold both, if they fit."""
+    bits = (len(key) - 1).bit_length()
+    if int(key.max()).bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    return np.sort(key << bits | np.arange(len(key))) & ((1 << bits) - 1)
+
+
 class RunIndex:
     """A run-length BWT of short texts, each with an end of its own, and the least owner of every `LENGTH`-byte string."""
 
@@ -108,6 +116,7 @@ class RunIndex:
         lengths = np.diff(np.append(heads, len(before)))
         self.first_at, self.last_at = place[order[heads]], place[order[heads + lengths - 1]]  # the samples
         self.tails = heads + lengths - 1
+        self.run_of = np.repeat(np.arange(len(heads)), lengths)
         by = np.argsort(self.symbol, kind="stable")
         run_sum = np.cumsum(lengths[by]) - lengths[by]
         group = np.searchsorted(self.symbol[by], self.symbol[by])
@@ -119,13 +128,15 @@ class RunIndex:
 
     def _ordered(self, place: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
         """The suffixes in order, by doubling, and by width the rank of the bytes from every place on; of equal ones the first text's."""
-        ranks, width, key = {}, 8, self.eight[place].byteswap()
+        # Five bytes first: after three doublings two widths make a string, and a key and a place fit one number.
+        ranks, width, key = {}, 5, (self.eight[place].byteswap() >> np.uint64(24)).astype(np.int64)
         while True:
-            by = np.argsort(key)
+            by = _sorted(key)
+            held = key[by]
             rank = np.empty(len(by), np.int64)
-            rank[by] = np.cumsum(np.concatenate([[0], key[by][1:] != key[by][:-1]]))
+            rank[by] = np.cumsum(np.concatenate([[0], held[1:] != held[:-1]]))
             if width >= self.size.max():
-                return np.argsort(rank * (int(left.max()) + 1) + left, kind="stable"), ranks
+                return _sorted(rank * (int(left.max()) + 1) + left), ranks
             ranks[width] = np.zeros(len(self.flat), np.int64)  # after a text's end as at its end, where no bytes are left
             ranks[width][place] = rank
             key = rank * (len(place) + 1) + np.where(left > width, ranks[width][np.minimum(place + width, len(self.flat) - 1)], 0)
@@ -173,7 +184,7 @@ class RunIndex:
             on = np.flatnonzero(self.size >= back)
             place = on * self.row + self.size[on] - back
             c = self.flat[place].astype(np.int64)
-            run = np.searchsorted(self.heads, rows[on], "right") - 1
+            run = self.run_of[rows[on]]
             jump = np.flatnonzero(self.symbol[run] != c)
             if len(jump):
                 who, r = on[jump], run[jump]
@@ -219,7 +230,7 @@ def _owners(key: tuple, held: pa.Table) -> pa.Table:
 def owners(parts: DataFrame) -> DataFrame:
     """(token, name, owners) of the segments that have a string which an earlier document may have too."""
     held = parts.groupBy("token", "content").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("name", F.xxhash64("content"))
-    held, seen = pin_measured(held, size=F.sum(F.octet_length("content")))
+    held, seen = pin_measured(held, "zstd", size=F.sum(F.octet_length("content")))
     # A minimizer with very many segments would fill one task. There are few such: at most one for each MOST_SEGMENTS segments.
     often = pin(held.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where(f"held > {MOST_SEGMENTS}").select("token"))
     bucketed = held.join(F.broadcast(often), "token", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit((seen.get("size") or 0) // BUCKET + 12)))
@@ -273,7 +284,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     texts = with_class(docs.where("doc_id is not null"), packed=True)
     one = texts.join(sets.withColumnRenamed("class", "of"), (F.col("class") == F.col("of")) & (F.col("doc_id") == F.col("least"))).dropDuplicates(["class", "doc_id"])
-    parts = pin(one.select("class", "least", "text", "tokens").mapInArrow(cut, "class long, doc long, token long, start long, content binary"))
+    parts = pin(one.select("class", "least", "text", "tokens").mapInArrow(cut, "class long, doc long, token long, start long, content binary"), "zstd")  # segments overlap
     known = owners(parts.select("token", "doc", "content"))
     hits = parts.select("class", "doc", "token", "start", F.xxhash64("content").alias("name")).join(known, ["token", "name"]).where(F.array_min("owners") < F.col("doc"))
 

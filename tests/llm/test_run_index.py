@@ -74,3 +74,25 @@ def test_periodic_runs_are_cut_into_short_segments():
         assert max(len(s) for _, _, s in found) <= run_index.LENGTH + run_index.WIDTH - 1
         strings = {a + i for _, a, s in found for i in range(len(s) - run_index.LENGTH + 1)}
         assert strings == set(range(len(text) - run_index.LENGTH + 1)) and all(text[a : a + len(s)] == s for _, a, s in found)
+
+
+@pytest.mark.parametrize("most", [2**20, 2**62])
+def test_keys_are_sorted_with_their_places(most):
+    key = np.random.default_rng(3).integers(0, 50, 1000) * (most // 50)
+    assert run_index._sorted(key).tolist() == np.argsort(key, kind="stable").tolist()
+
+
+def test_two_widths_of_the_index_make_a_string(rnd):
+    texts = list({prose(rnd, 30).encode()[:n] for n in range(50, 77)})
+    index = run_index.RunIndex(texts, np.arange(len(texts)))
+    widths = index._ordered(*(np.zeros(1, np.int64),) * 2)[1]
+    assert run_index.LENGTH in {a + b for a in widths for b in widths}
+    assert (index.run_of == np.searchsorted(index.heads, np.arange(len(index.run_of)), "right") - 1).all()
+
+
+def test_a_table_can_be_stored_smaller(spark):
+    from chronoweave.session import pin
+
+    rows = spark.range(2000).selectExpr("id", "repeat(sha2(cast(id div 50 as string), 256), 3) as text")
+    stored = pin(rows, "zstd")
+    assert all(".zstd." in f for f in stored.inputFiles()) and sorted(stored.collect()) == sorted(rows.collect())
