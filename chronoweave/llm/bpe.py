@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key
+from .common import doc_key, kept
 
 # What counts as white space, and the pattern of the public vocabulary's words.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -43,7 +43,7 @@ def byte_names() -> dict[str, int]:
 class Tokenizer:
     """A vocabulary file in the JSON form of the public tokenizers library."""
 
-    def __init__(self, content: str, most: int = 1_200_000):
+    def __init__(self, content: str, most: int = 300_000):
         spec = json.loads(content)
         names, vocab = byte_names(), spec["model"]["vocab"]
         self.bytes_of = {i: bytes(names[c] for c in name) for name, i in vocab.items()}
@@ -58,7 +58,7 @@ class Tokenizer:
             self.made.append(vocab[a + b])
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
-        self.pieces, self.most = _Pieces(self, most), most
+        self.pieces = _Pieces(self, most)
         # all tokens' bytes end to end, and where each begins; an id without a token has no bytes
         size = max(self.bytes_of) + 1
         widths = np.zeros(size, np.int64)
@@ -115,8 +115,6 @@ class Tokenizer:
         return np.concatenate([np.array([self.special[r]], np.int32) if i % 2 else self._plain(r) for i, r in enumerate(runs)])
 
     def _plain(self, text: str) -> np.ndarray:
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
         if any(map(text.__contains__, UNEVEN)):
             cut = PIECES.findall(text)
         else:
@@ -149,39 +147,42 @@ class Tokenizer:
 
 
 class _Pieces(dict):
-    """Piece -> its ids as packed 32-bit numbers; emptied when it holds more than a bounded number of pieces."""
+    """Piece -> its ids as packed 32-bit numbers, of `most` pieces at most, even within one text.
+
+    When half as many have come, they become the older ones, and the older ones that nobody has looked up since are forgotten; so
+    frequent pieces stay.
+    """
 
     def __init__(self, tokenizer: Tokenizer, most: int):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.half, self.older = tokenizer, most // 2, {}
 
     def __missing__(self, piece: str) -> bytes:
-        merge = self.tokenizer.merge
-        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-            packed = array("i", merge(piece.encode())).tobytes()
-        elif piece[1:-1].isalpha() and piece[-1] in ".,;:!?":
-            packed = self[piece[:-1]] + self[piece[-1]] if piece[0] == " " or piece[0].isalpha() else self._words(piece)
-        else:
-            packed = self._words(piece)
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = self._ids(piece)
         if len(piece) <= 64:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
             self[piece] = packed
         return packed
 
+    def _ids(self, piece: str) -> bytes:
+        merge = self.tokenizer.merge
+        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            return array("i", merge(piece.encode())).tobytes()
+        if piece[1:-1].isalpha() and piece[-1] in ".,;:!?" and (piece[0] == " " or piece[0].isalpha()):
+            return self[piece[:-1]] + self[piece[-1]]
+        return self._words(piece)
 
     def _words(self, piece: str) -> bytes:
         return b"".join(array("i", self.tokenizer.merge(w.encode())).tobytes() for w in WORDS.findall(piece))
 
 
-_loaded: dict[int, Tokenizer] = {}
-
-
 def _tokenizer(content: str) -> Tokenizer:
     """One per worker process, so that its pieces serve the next task too."""
-    key = hash(content)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Tokenizer(content)
-    return _loaded[key]
+    return kept(("tokenizer", hash(content)), lambda: Tokenizer(content))
 
 
 def _load(docs: DataFrame, path: str):

@@ -18,16 +18,14 @@ from pyspark.sql import functions as F
 
 from chronoweave.session import pin
 
-from .common import LOWER, WordHashes, shingle_hashes, word_hashes
+from .common import LOWER, WordHashes, kept, shingle_hashes, word_hashes
 from .components import components
 from .shared_tokens import shared_tokens
 
-_words = WordHashes()
-
 
 def shingle_set(text: bytes) -> np.ndarray:
     """Sorted distinct hashes of the 5-word shingles, A-Z lower-cased; fewer words are one shingle, no words none."""
-    return np.unique(shingle_hashes(word_hashes(text.translate(LOWER).split(), _words)))
+    return np.unique(shingle_hashes(word_hashes(text.translate(LOWER).split(), kept("words", WordHashes))))
 
 
 def _alike(inter: Column, n: Column, m: Column, percent: int) -> Column:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from chronoweave.llm import bpe
+from chronoweave.llm import bpe, common, prefix_join
 from chronoweave.llm.queries import tokenizer_path
 
 from .conftest import pairs
@@ -70,3 +70,24 @@ def test_batches_decode_as_single_texts(library):
     whole = bpe._texts(*own.decode_all(*[np.array(x) for x in (sum(rows[:4], []), [len(sum(rows[: k + 1], [])) for k in range(4)])])).to_pylist()
     assert whole == texts[:4]
     assert bpe._texts(*own.decode_all(np.array([], np.int32), np.array([0, 0]))).to_pylist() == ["", ""]
+
+
+def test_a_worker_keeps_few_pieces_and_the_frequent_ones():
+    """One text with more different words than the tokenizer may hold, and one word between all of them."""
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        own = bpe.Tokenizer(f.read(), most=100)
+    merged, merge = [], own.merge
+    own.merge = lambda word: merged.append(word) or merge(word)
+    own.encode(" ".join(f"often {chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{'xyz'[i // 676]}" for i in range(2000)))
+    assert len(own.pieces) + len(own.pieces.older) <= 100
+    assert merged.count(b" often") == 1 and len(merged) >= 2000
+
+
+def test_a_worker_keeps_one_operators_cache():
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        content = f.read()
+    prefix_join.shingle_set(b"some words of an earlier stage")
+    own = bpe._tokenizer(content)
+    assert list(common._kept.values()) == [own] and bpe._tokenizer(content) is own
+    prefix_join.shingle_set(b"some words of the next stage, once more")
+    assert own not in common._kept.values()
