@@ -1,9 +1,10 @@
 """Exact medians per group that stay bounded when a group is over-full.
 
-Spark's exact percentile keeps every distinct value of a group in one task. Groups above the row limit are selected by
-radix instead: a double's bits, put into an order-preserving long, are told 16 at a time. Each pass counts the next 16 bits
-of the values that share the bits known so far, for all over-full groups together, and the wanted rank picks one of the at
-most 65,536 counts. Four passes give all 64 bits, whatever the number of rows, groups and ties.
+Spark's exact percentile keeps every distinct value of a group in one task. Of groups above the row limit, a sketch first
+tells two bounds that the median lies between; one pass counts what is below, and each different value within. The median is
+selected among these by radix: a double's bits, put into an order-preserving long, are told 16 at a time. Each pass counts the
+next 16 bits of the values that share the bits known so far, for all over-full groups together, and the wanted rank picks one of
+the at most 65,536 counts. Four passes give all 64 bits, whatever the number of rows, groups and ties.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from chronoweave.session import pin, pin_measured, rows_per_split
 
 DIGIT = 16
 PASSES = 64 // DIGIT
+ACCURACY = 10_000  # a sketch's ranks are off by one in this many rows at most
 
 
 def _renamed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
@@ -35,10 +37,33 @@ def _with_groups(df: DataFrame, groups: DataFrame, by: list[str], how: str = "in
     return df.join(F.broadcast(small), match, how).drop(*names)
 
 
+def _between(stored: DataFrame, by: list[str], sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How often each value between two bounds around the median comes (keys, `_v`, `_c`); `sizes` with the rows `_below`."""
+    values = stored.where(F.col("_v").isNotNull())
+    value = F.nanvl("_v", F.lit(float("inf")))  # a sketch can't order NaN
+    share = [0.5 - 4 / ACCURACY, 0.5 + 4 / ACCURACY]
+    bounds = _with_groups(values, sizes.drop("_n"), by).groupBy(*by).agg(F.percentile_approx(value, share, ACCURACY).alias("_bounds"))
+    bounds = pin(bounds.select(*by, F.get("_bounds", F.lit(0)).alias("_low"), F.get("_bounds", F.lit(1)).alias("_high")))
+
+    def counted(bounds: DataFrame) -> tuple[DataFrame, DataFrame]:
+        # one row for all that is below, whose value is NULL
+        kept = _with_groups(values, bounds, by).where(value <= F.col("_high"))
+        counts = pin(kept.groupBy(*by, F.when(value >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+        sums = counts.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("_below"), F.sum("_c").alias("_upto"))
+        return counts.where(F.col("_v").isNotNull()), pin(_with_groups(sums, sizes, by))
+
+    counts, found = counted(bounds)
+    outside = (F.col("_below") > F.floor((F.col("_n") - 1) / 2)) | (F.col("_upto") <= F.floor(F.col("_n") / 2))
+    if not found.where(outside).isEmpty():  # the sketch was off by more than it says: no bounds
+        counts, found = counted(bounds.withColumns({"_low": F.lit(float("-inf")), "_high": F.lit(float("inf"))}))
+    return counts, found.drop("_upto")
+
+
 def _selected(stored: DataFrame, by: list[str], sizes: DataFrame, name: str) -> DataFrame:
     """The medians of the groups in `sizes` (their keys and `_n`)."""
-    values = stored.where(F.col("_v").isNotNull()).withColumn("_bits", ordered_bits(F.col("_v"))).select(*by, "_bits")
-    sides = F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
+    between, sizes = _between(stored, by, sizes)
+    values = between.withColumn("_bits", ordered_bits(F.col("_v"))).select(*by, "_bits", "_c")
+    sides = F.array(F.floor((F.col("_n") - 1) / 2) - F.col("_below"), F.floor(F.col("_n") / 2) - F.col("_below"))
     state = sizes.select(*by, F.posexplode(sides).alias("_side", "_rank")).withColumn("_prefix", F.lit(0).cast("long"))
     for done in range(PASSES):
         shift = 64 - DIGIT * (done + 1)
@@ -51,7 +76,7 @@ def _selected(stored: DataFrame, by: list[str], sizes: DataFrame, name: str) ->
         counts = (
             _with_groups(values, known, by, test=test)
             .groupBy(*by, "_known", digit.alias("_digit"))
-            .agg(F.count(F.lit(1)).alias("_c"))
+            .agg(F.sum("_c").alias("_c"))
         )
         along = Window.partitionBy(*by, "_known").orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0)
         ranked = counts.withColumn("_upto", F.sum("_c").over(along))
@@ -79,7 +104,7 @@ def stored_median(stored: DataFrame, by: list[str], value: str | Column, n: int,
     if sizes.isEmpty():
         return slim.groupBy(*by).agg(F.median("_v").alias(name))
     heavy = _selected(slim, by, sizes, name)
-    if not by:
+    if not by or sizes.agg(F.sum("_n")).first()[0] == n:  # no rows are left
         return heavy
     light = _with_groups(slim, sizes.drop("_n"), by, "left_anti")
     return light.groupBy(*by).agg(F.median("_v").alias(name)).unionByName(heavy)

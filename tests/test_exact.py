@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.functions.doubles import bins_between, from_ordered_bits, ordered_bits, part_in_bin, with_totals
+from chronoweave.operators import quantiles
 from chronoweave.operators.quantiles import PASSES, column_medians, exact_median
 from chronoweave.operators.ranges import Layer, in_force, stab_pairs
 from chronoweave.session import pin_measured
@@ -154,6 +155,27 @@ def test_passes_do_not_depend_on_the_data(spark):
     assert PASSES == 4 and counts[0] == counts[1]
 
 
+def test_few_values_are_taken_apart(spark, monkeypatch):
+    """Bits are worked out for what lies around the median, not for all rows in each pass."""
+    apart, real = spark.sparkContext.accumulator(0), quantiles.ordered_bits
+    monkeypatch.setattr(quantiles, "ordered_bits", lambda v: real(F.udf(lambda x: (apart.add(1), x)[1], "double")(v)))
+    df = spark.range(40_000).selectExpr("id % 2 as g", "cast(id * 7919 % 40000 as double) / 8 as v")
+    got = {r.g: r["median"] for r in exact_median(df, ["g"], "v", rows=500).collect()}
+    assert got == {0: 19999 / 8, 1: 20000 / 8 + 0.0} and 0 < apart.value < 4000
+
+
+@pytest.mark.parametrize("wrong", [F.min, F.max])
+def test_medians_do_not_rest_on_the_sketch(spark, monkeypatch, wrong):
+    nan, inf = float("nan"), float("inf")
+    data = [(0, v) for v in [*range(40), None, -inf, inf]] + [(1, v) for v in [nan] * 30 + [1.0] * 20] + [(2, v) for v in [-0.0, 0.0] * 20 + [inf] * 41]
+    df = spark.createDataFrame([(g, v if v is None else float(v)) for g, v in data], "g long, v double")
+    expected = {0: 19.5, 1: "nan", 2: inf}
+    for _ in range(2):
+        got = {r.g: "nan" if math.isnan(r["median"]) else r["median"] for r in exact_median(df, ["g"], "v", rows=20).collect()}
+        assert got == expected
+        monkeypatch.setattr(quantiles.F, "percentile_approx", lambda v, *a: F.array(wrong(v), wrong(v)))
+
+
 def test_column_medians_with_nothing(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
     for rows in (1, 100):
